@@ -27,7 +27,7 @@ def _digest(key: Column) -> Column:
     return F.unhex(F.md5(key.cast("binary")))
 
 
-@F.pandas_udf(T.StructType().add("text", "string").add("n_dropped", "long"))
+@F.pandas_udf(T.StructType().add("text", T.StringType()).add("n_dropped", T.LongType()))
 def _without(text: pd.Series, drop: pd.Series) -> pd.DataFrame:
     """Texts without the lines whose digests are in drop; a set, as an SQL array would be searched line by line."""
     out = []

@@ -9,8 +9,31 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .common import read_table
+from . import katz
+from .jaccard_join import jaccard_components
+from .lang_id import detect
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .packing import pack
+from .topk import search
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return detect(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +45,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mix_sources, op7_line_dedup)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_topk_search, op4_language_id, op5_mix_sources, op7_line_dedup, op10_katz_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
