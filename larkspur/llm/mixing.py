@@ -11,7 +11,6 @@ from .common import cut, n_words, unit_hash
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-ROWS_PER_BUCKET = 20_000
 #: Slices of virtual time in which the end of the budget is sought; the slice found is sliced once more.
 SLICES = 4096
 #: A table of so many sources is broadcast; beyond, rows and sources are joined by a salted shuffle.
@@ -92,8 +91,11 @@ def mix(
     finish time and cut where the sum of all sizes (the budget) is spent.  Documents are
     taken whole.
 
-    Running sums are made in two levels: within buckets of about ROWS_PER_BUCKET rows of a
-    source's shuffled order, and over the buckets; no task holds a source.
+    Beyond time 1 only the document at which a source passes its target stands in line, so no
+    source is further from its target than by one document, be others ever so long.
+
+    Running sums are made in two levels: within buckets of a source's shuffled order, as many
+    as the square root of its rows, and over the buckets; no task holds a source.
 
     Defined cases: a null text has size 0; documents of size 0 and sources of size 0 are taken
     0 words; equal rows stand at their own places in the line; other columns are not returned.
@@ -105,7 +107,7 @@ def mix(
     line = (
         _with_targets(rows, targets)
         .withColumn("place", unit_hash(F.lit(seed), F.col("doc_id"), F.col("tie")))
-        .withColumn("n_buckets", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / ROWS_PER_BUCKET)))
+        .withColumn("n_buckets", F.ceil(F.sqrt("n_rows")))
         .withColumn("bucket", F.floor(F.col("place") * F.col("n_buckets")))
     )
     starts = (
@@ -125,7 +127,8 @@ def mix(
     turns = (
         line.where(F.col("size") > 0)
         .withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-        .select("size", ((F.col("turn") * F.col("source_size") + F.col("upto")) / goal).alias("finish"))
+        .select("size", ((F.col("turn") * F.col("source_size") + F.col("upto")) / goal).alias("finish"), (F.col("size") / goal).alias("lasts"))
+        .where(F.col("finish") - F.col("lasts") < 1.0)
     )
     total = targets.agg(F.max("budget")).first()[0] or 0.0
     finish = [(F.lit(k) * F.col("source_size") + F.col("upto")) / goal for k in range(max_repeats)]
@@ -140,6 +143,6 @@ def mix(
         low, high, before = found
         spent += before
         end = low
-    times = sum([F.when(f <= 1.0, 1).when(f < end, 1).otherwise(0) for f in finish], F.lit(0))
+    times = sum([F.when((f <= 1.0) | ((f < end) & (f - F.col("size") / goal < 1.0)), 1).otherwise(0) for f in finish], F.lit(0))
     taken = F.when(F.col("size") > 0, times).otherwise(F.lit(0)).cast("int")
     return line.select("doc_id", "source", "size", "source_size", "target", taken.alias("n_taken"), (taken * F.col("size")).cast("long").alias("taken"))
