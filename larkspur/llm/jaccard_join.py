@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, release
 from .textkernel import Words, mix, shingles, slices, unique_sets
 
 WORDS = 3
@@ -35,6 +35,8 @@ CELL_BITS = 20
 CHUNKS = 64
 #: Nodes in more pairs than this have their text copied to SALTS parts for verification.
 HEAVY = 500
+#: Up to so many nodes (8 MB) are broadcast to select their texts; beyond, texts and nodes are joined by a shuffle.
+FEW_NODES = 500_000
 SALTS = 16
 
 
@@ -222,8 +224,10 @@ def _pair_batch(xs: list[np.ndarray], ys: list[np.ndarray]) -> pa.RecordBatch:
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int = WORDS) -> DataFrame:
     """(x, y, shared, nx, ny) for pairs of doc_ids: sizes of the intersection and of both sets."""
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("uses"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ends, "node").withColumn("salts", F.when(F.col("uses") > HEAVY, SALTS).otherwise(1))
+    pairs = cut(pairs)
+    ends = cut(pairs.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("uses")))
+    few = ends.count() <= FEW_NODES  # then the texts of all other documents needn't be shuffled to be left out
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(F.broadcast(ends) if few else ends, "node").withColumn("salts", F.when(F.col("uses") > HEAVY, SALTS).otherwise(1))
     texts = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     dealt = pairs
     for side in ("x", "y"):
@@ -285,11 +289,13 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, share: tuple[int, int] =
     entries = indexed.select(F.posexplode("prefix").alias("pos", "token"), F.col("n_shingles").alias("n"), "node").select("token", "n", F.col("pos").cast("long"), "node")
 
     tested = cut(verify(_neighbours(entries, share), docs, k))
+    release(docs.sparkSession)
     links = tested.where(_linked(share)).select("x", "y")
     comps = components(links)
     # Distances to the leaders, from which answers across components are derived.
     tied = comps.where("node <> comp").select(F.col("comp").alias("x"), F.col("node").alias("y"))
     across = cut(_across(entries, comps, share).join(tested.select("x", "y"), ["x", "y"], "left_anti"))
+    release(docs.sparkSession)
     more = _derived(across, comps, tied, docs, k, share)
     if more is not None:
         comps = components(reduce(DataFrame.union, [tied, more]))
