@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .common import read_table
 from . import katz
+from .fingerprint import edited_fingerprints
 from .jaccard_join import jaccard_components
 from .lang_id import detect
 from .line_dedup import dedup_lines
@@ -45,12 +46,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op10_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_topk_search, op4_language_id, op5_mix_sources, op7_line_dedup, op10_katz_scoring)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_topk_search, op4_language_id, op5_mix_sources, op7_line_dedup, op9_fingerprints, op10_katz_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
