@@ -1,20 +1,25 @@
 """LM scoring by a Katz backoff bigram model with Good-Turing discounts.
 
-The model is a set of partitioned tables.  Word counts are gathered with a window over
-words; a block of texts then gets back the counts of its own words.  Bigram counts are
-gathered in partitions by context word, where the discounts and the exactly normalised
-backoff weights are made, and the probabilities that each block asked for return to it.
-Only distinct words and distinct bigrams of a block travel, as packed columns; no task and
-no broadcast holds a table of all words or bigrams.
+The texts are read once and written as packed blocks: distinct words, distinct bigrams by
+context, and which texts use them.  From then on only distinct words and bigrams travel, a
+block's for each partition in one row:
+
+1. Partitions of words add up the blocks' counts and number the words by frequency, so that
+   frequent words have small numbers and columns of numbers pack well.
+2. Partitions of bigrams, by context, add up counts, and for each context what its discounts
+   and exactly normalised backoff weight are made of.
+3. Each block gets back what it asked for and scores its own texts, token by token: a bigram
+   seen in training by its discounted count, else by backing off to the word.
+
+No task and no broadcast holds a table of all words or bigrams.
 """
-
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, release
@@ -28,7 +33,8 @@ BLOCK_BYTES = 16_000_000
 HOT, SALTS = 1000, 16
 #: The token at the end of each text, which is also the context of its first word.
 END = np.uint64(0x5851F42D4C957F2D)
-_ROW = "kind int, place long, block long, doc long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, data binary"
+_ROW = "kind int, block long, place int, data binary, doc long, doc_id long, held_out boolean, n_tokens long"
+_TEXT, _TYPES, _USES, _WORDS, _WORD_ANSWER, _ANSWER = range(6)
 
 
 def held_out_column() -> Column:
@@ -90,207 +96,248 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _blocked(docs: DataFrame) -> DataFrame:
-    """(block, doc_id, held_out, text): blocks by file and a hash, so that a scan's task meets few of them."""
-    spread = docs.select(F.col("doc_id").cast("long"), held_out_column().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), F.input_file_name().alias("__file"))
-    most = spread.groupBy("__file").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] or 0
-    each = max(1, -(-int(most) // BLOCK_BYTES))
-    return spread.withColumn("block", F.xxhash64("__file", F.pmod(F.xxhash64("doc_id", "text"), F.lit(each)))).drop("__file")
+def probabilities(n: np.ndarray, of: np.ndarray, total: np.ndarray, whole: np.ndarray, rare: list[np.ndarray], covered: np.ndarray, lower_p: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """log10 P of bigrams seen n times; of is each one's context.
 
+    By context: total occurrences, whether all its followers are seen too often to be discounted (whole), rare[r - 1]
+    followers seen r times, and covered, the sum of the lower-order probabilities of all seen followers.  Seen followers
+    get d[n] * n / total; what that leaves goes to the others in proportion to the lower order, with the weight
+    left / (1 - covered), so that each context sums to 1.
+    """
+    # A context without discounted followers has nothing left: one more occurrence is assumed, of none of them.
+    denominator = np.maximum(np.where(whole, total + 1, total), 1)
+    left = np.where(whole, 1, sum((1 - d[r]) * r * rare[r - 1] for r in range(1, GOOD_TURING_K + 1))) / denominator
+    weight = np.where(total > 0, left / np.maximum(1 - covered, 1e-12), 1.0)
+    seen = n > 0
+    out = np.empty(len(n))
+    out[seen] = d[np.minimum(n[seen], GOOD_TURING_K + 1)] * n[seen] / denominator[of[seen]]
+    out[~seen] = weight[of[~seen]] * lower_p[~seen]
+    return np.log10(out)
 
-def word_counts(blocked: DataFrame) -> DataFrame:
-    """(block, word, n, total, first): each block's distinct words with their counts in the block's and in all training texts; first marks one row of a word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _rows(kinds: list[int], block: int, places: list[int], data: list[bytes | None]) -> dict:
+    n = len(kinds)
+    return {"kind": pa.array(kinds, pa.int32()), "block": pa.array([block] * n, pa.int64()), "place": pa.array(places, pa.int32()), "data": pa.array(data, pa.binary())}
 
-        def out(block: int) -> pa.RecordBatch:
-            words, n = counts.pop(block)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(words.astype(np.int64)), pa.array(n)], names=["block", "word", "n"])
 
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part.column(part.schema.get_field_index("text")), lower=True)
-                size = np.diff(words.first)
-                block = part.column(0).to_numpy()
-                train = np.repeat(~np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool), size)
-                of = np.repeat(block, size)
-                for b in np.unique(of):
-                    own = of == b
-                    h, inverse = np.unique(words.hash[own], return_inverse=True)
-                    n = np.bincount(inverse, train[own], len(h)).astype(np.int64)
-                    if b in counts:
-                        h, inverse = np.unique(np.concatenate([counts[b][0], h]), return_inverse=True)
-                        n = np.bincount(inverse, np.concatenate([counts[b][1], n]), len(h)).astype(np.int64)
-                    counts[b] = h, n
-                while sum(len(h) for h, _ in counts.values()) > 3_000_000:
-                    yield out(max(counts, key=lambda b: len(counts[b][0])))
-        for b in list(counts):
-            yield out(b)
-
-    found = blocked.select("block", "held_out", "text").mapInArrow(run, "block long, word long, n long")
-    by_word = Window.partitionBy("word")
-    return found.withColumn("total", F.sum("n").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("block", "n")) == 1)
-
-
-def _asked(blocked: DataFrame, counts: DataFrame, lower: Unigrams, parts: int) -> DataFrame:
-    """Rows of _ROW by block.  kind 0: a text with its sums.  kind 1: the block's texts by bigram (place -1).  kind 2: the distinct bigrams asked of a part (place)."""
-
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        block = texts.column("block")[0].as_py()
-        h = words.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(h, kind="stable")
-        known, total = h[order], words.column("total").to_numpy()[order]
-        # The same order whenever the block is made again: what the parts return is by place.
-        texts = texts.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        doc, second, first, count, hot = [], [], [], [], []
-        rows = {n: [] for n in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")}
-        at = 0
-        for part in slices(texts, "text"):
+def blocks(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows of _ROW: a _TEXT for each text, and for each block its bigrams (_TYPES), which texts use them (_USES), and its words for each part (_WORDS).
+
+    A block's words are ordered by part and hash, and known by their place in that order; its bigrams are ordered by context and word.
+    """
+
+    def block(number: int, parts_of: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts_of)
+        held = table.column("held_out").to_numpy()
+        hashes, sizes = [], []
+        for part in slices(table.combine_chunks(), "text"):
             w = Words(part.column("text"), lower=True)
-            k = np.searchsorted(known, w.hash)
-            if len(w.hash) and (k >= len(known)).any() | (known[np.minimum(k, len(known) - 1)] != w.hash).any():
-                raise RuntimeError("the blocks of both passes differ")
-            c = total[k] if len(w.hash) else np.zeros(0, np.int64)
-            ends = int(lower.n_end)
-            n = np.diff(w.first)
-            sums = np.concatenate([[0.0], np.cumsum(lower.base(c))])
-            seen = np.concatenate([[0], np.cumsum(c > 0)])
-            rows["doc_id"] += part.column("doc_id").to_pylist()
-            rows["held_out"] += part.column("held_out").to_pylist()
-            rows["n_tokens"].append(n + 1)
-            rows["n_known"].append(seen[w.first[1:]] - seen[w.first[:-1]] + (ends > 0))
-            rows["base_score"].append(sums[w.first[1:]] - sums[w.first[:-1]] + float(lower.base(np.array([ends]))[0]))
-            # Tokens with an end after each text; contexts with an end before it.
-            place = np.arange(len(w.hash)) + np.repeat(np.arange(len(n)), n)
-            tokens = np.full(len(w.hash) + len(n), END, np.uint64)
-            tokens[place] = w.hash
-            totals = np.full(len(tokens), ends, np.int64)
-            totals[place] = c
-            contexts, before = np.full(len(tokens), END, np.uint64), np.full(len(tokens), ends, np.int64)
-            inner = np.ones(len(tokens), bool)
-            inner[w.first[:-1] + np.arange(len(n))] = False
-            contexts[inner], before[inner] = tokens[np.flatnonzero(inner) - 1], totals[np.flatnonzero(inner) - 1]
-            doc.append(np.repeat(np.arange(at, at + len(n)), n + 1))
-            first.append(contexts), second.append(tokens), count.append(totals), hot.append(before > lower.total / HOT)
-            at += len(n)
-        doc, first, second, count, hot = (np.concatenate(x) for x in (doc, first, second, count, hot))
-        held = np.array([bool(x) for x in rows["held_out"]])
-        place = (first % np.uint64(parts) + np.where(hot, second % np.uint64(SALTS), np.uint64(0))) % np.uint64(parts)
-        order = np.lexsort((doc, second, first, place))
-        doc, first, second, count, hot, place = doc[order], first[order], second[order], count[order], hot[order], place[order].astype(np.int64)
+            hashes.append(w.hash), sizes.append(np.diff(w.first))
+        h, size = np.concatenate(hashes), np.concatenate(sizes) + 1
+        doc = np.repeat(np.arange(len(size)), size)
+        ends = np.cumsum(size) - 1
+        token = np.full(len(doc), END, np.uint64)
+        inner = np.ones(len(doc), bool)
+        inner[ends] = False
+        token[inner] = h
+        words, second = np.unique(token, return_inverse=True)
+        part_of = (words % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part_of, kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        words, part_of, second = words[order], part_of[order], place[second]
+        train = ~held[doc]
+        n = np.bincount(second, train, len(words)).astype(np.int64)
+        first = np.empty(len(second), np.int64)
+        first[1:] = second[:-1]
+        first[ends - size + 1] = second[ends[0]]  # the end's place
+        order = np.lexsort((doc, second, first))
+        doc, first, second, train = doc[order], first[order], second[order], train[order]
         new = np.ones(len(doc), bool)
         new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-        seen = np.bincount(np.cumsum(new) - 1, ~held[doc]).astype(np.int64)
         at = np.flatnonzero(new)
-        uses = np.diff(np.append(at, len(doc)))
-        doc_use, first, second, count, hot, place = doc, first[at], second[at], count[at], hot[at], place[at]
-        heads = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (place[1:] != place[:-1])]))
-        h_first, h_place, h_run = first[heads], place[heads], np.diff(np.append(heads, len(first)))
+        seen = np.bincount(np.cumsum(new) - 1, train).astype(np.int64)
+        heads = np.flatnonzero(np.concatenate([[True], first[at][1:] != first[at][:-1]]))
+        kinds, places = [_TYPES, _USES], [-1, -1]
+        data = [_pack(_small(first[at][heads]), _small(np.diff(np.append(heads, len(at)))), _small(second[at]), _small(seen)), _pack(_small(np.diff(np.append(at, len(doc)))), _small(doc))]
+        cuts = np.searchsorted(part_of, np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[p], cuts[p + 1])
+            kinds.append(_WORDS), places.append(p), data.append(_pack(words[own], _small(n[own])))
+        m = len(kinds)
+        rows = _rows([_TEXT] * len(size) + kinds, number, [-1] * len(size) + places, [None] * len(size) + data)
+        rows["doc"] = pa.array([*range(len(size)), *[None] * m], pa.int64())
+        for name, column in (("doc_id", table.column("doc_id").to_pylist()), ("held_out", held.tolist()), ("n_tokens", size.tolist())):
+            rows[name] = pa.array([*column, *[None] * m], pa.bool_() if name == "held_out" else pa.int64())
+        return pa.RecordBatch.from_pydict(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, kept, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                kept.append(part)
+                size += part.column(2).nbytes
+                if size >= BLOCK_BYTES:
+                    yield block(number, kept)
+                    number, kept, size = number + 1, [], 0
+        if kept:
+            yield block(number, kept)
+
+    return docs.select(F.col("doc_id").cast("long"), held_out_column().alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, _ROW)
+
+
+def _word_answers(asked: DataFrame, parts: int) -> DataFrame:
+    """(block, place, data, seen): for each word a block asked of a part its count in training and its number.
+    Rows with a null block have in seen what the part's words add to the sums: all, distinct, and those seen 1, 2, ... times."""
+
+    def run(table: pa.Table) -> pa.Table:
+        place = table.column("place")[0].as_py()
+        blocks, asks = table.column("block").to_pylist(), [_unpack(x.as_py()) for x in table.column("data")]
+        words, of = np.unique(np.concatenate([a[0] for a in asks]), return_inverse=True)
+        total = np.bincount(of, np.concatenate([a[1] for a in asks])).astype(np.int64)
+        number = np.empty(len(words), np.int64)
+        number[np.lexsort((words, -total))] = np.arange(len(words)) * parts + place
+        cuts = np.cumsum([0, *[len(a[0]) for a in asks]])
+        data = [_pack(_small(total[of[a:b]]), _small(number[of[a:b]])) for a, b in zip(cuts[:-1], cuts[1:])]
+        seen = [int(total.sum()), int((total > 0).sum()), *np.bincount(np.minimum(total, GOOD_TURING_K + 2), minlength=GOOD_TURING_K + 3)[1 : GOOD_TURING_K + 2].tolist()]
+        return _answer_table(blocks, place, data, seen)
+
+    return asked.where(F.col("kind") == _WORDS).groupBy("place").applyInArrow(run, "block long, place int, data binary, seen array<long>")
+
+
+def _answer_table(blocks: list[int], place: int, data: list[bytes], seen: list[int]) -> pa.Table:
+    n = len(blocks)
+    return pa.table({"block": pa.array([*blocks, None], pa.int64()), "place": pa.array([place] * (n + 1), pa.int32()), "data": pa.array([*data, None], pa.binary()), "seen": pa.array([*[None] * n, seen], pa.list_(pa.int64()))})
+
+
+class _Block:
+    """A block's bigrams with what is known of its words, in the order in which it asks for them: by part, context and word."""
+
+    def __init__(self, types: bytes, answers: list[tuple[int, bytes]], all_tokens: float, parts: int):
+        heads, runs, second, seen = _unpack(types)
+        found = [_unpack(data) for _, data in sorted(answers)]
+        self.total, number = (np.concatenate([f[j] for f in found]).astype(np.int64) for j in (0, 1))
+        self.second = second.astype(np.int64)
+        first = np.repeat(heads.astype(np.int64), runs)
+        hot = self.total[first] > all_tokens / HOT
+        place = (number[first] + np.where(hot, number[self.second] % SALTS, 0)) % parts
+        self.order = np.lexsort((number[self.second], number[first], place))
+        f, s, p = first[self.order], self.second[self.order], place[self.order]
+        at = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (p[1:] != p[:-1])]))
+        run = np.diff(np.append(at, len(f)))
+        context, h_place = f[at], p[at]
         # A hot context is asked of all its parts, for what they hold of it adds up.
-        there = set(zip(h_first[hot[heads]].tolist(), h_place[hot[heads]].tolist()))
-        more = sorted({(w, (w % parts + i) % parts) for w, _ in there for i in range(SALTS)} - there)
+        there = set(zip(context[hot[self.order][at]].tolist(), h_place[hot[self.order][at]].tolist()))
+        more = sorted({(w, (int(number[w]) + i) % parts) for w, _ in there for i in range(SALTS)} - there)
         if more:
-            h_first = np.concatenate([h_first, np.array([w for w, _ in more], np.uint64)])
-            h_place = np.concatenate([h_place, np.array([p for _, p in more], np.int64)])
-            h_run = np.concatenate([h_run, np.zeros(len(more), np.int64)])
-            order = np.lexsort((h_first, h_place))
-            h_first, h_place, h_run = h_first[order], h_place[order], h_run[order]
-        out = [(1, -1, _pack(_small(uses), _small(doc_use), _small(count), h_first, _small(h_run)))]
-        cuts, h_cuts = np.searchsorted(place, np.arange(parts + 1)), np.searchsorted(h_place, np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(h_cuts)).tolist():
+            context = np.concatenate([context, np.array([w for w, _ in more], np.int64)])
+            h_place, run = np.concatenate([h_place, np.array([p for _, p in more], np.int64)]), np.concatenate([run, np.zeros(len(more), np.int64)])
+            order = np.lexsort((number[context], h_place))
+            context, h_place, run = context[order], h_place[order], run[order]
+        # Only contexts with a bigram unseen in the block can back off, and need what the weight is made of.
+        unseen = np.zeros(len(self.total), bool)
+        unseen[first[seen == 0]] = True
+        self.context, self.h_place, self.run, self.place = context, h_place, run, p
+        self.need = unseen[context]
+        self.numbers, self.seconds, self.seen, self.counts = number[context], number[s], seen[self.order].astype(np.int64), self.total[s]
+
+
+def _asked_bigrams(asked: DataFrame, words: DataFrame, all_tokens: float, parts: int) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        types, answers = None, []
+        for kind, place, data in zip(*(table.column(n).to_pylist() for n in ("kind", "place", "data"))):
+            if kind == _TYPES:
+                types = data
+            else:
+                answers.append((place, data))
+        b = _Block(types, answers, all_tokens, parts)
+        cuts, h_cuts = np.searchsorted(b.place, np.arange(parts + 1)), np.searchsorted(b.h_place, np.arange(parts + 1))
+        places, out = np.flatnonzero(np.diff(h_cuts)).tolist(), []
+        for p in places:
             own, h = slice(cuts[p], cuts[p + 1]), slice(h_cuts[p], h_cuts[p + 1])
-            out.append((2, p, _pack(h_first[h], _small(h_run[h]), second[own], _small(seen[own]), _small(count[own]))))
-        n = len(held)
-        nulls = [None] * len(out)
-        return pa.table(
-            {
-                "kind": pa.array([0] * n + [x[0] for x in out], pa.int32()),
-                "place": pa.array([-1] * n + [x[1] for x in out], pa.int64()),
-                "block": pa.array([block] * (n + len(out)), pa.int64()),
-                "doc": pa.array([*range(n), *nulls], pa.int64()),
-                "doc_id": pa.array([*rows["doc_id"], *nulls], pa.int64()),
-                "held_out": pa.array([*rows["held_out"], *nulls], pa.bool_()),
-                "n_tokens": pa.array([*np.concatenate(rows["n_tokens"]).tolist(), *nulls], pa.int64()),
-                "n_known": pa.array([*np.concatenate(rows["n_known"]).tolist(), *nulls], pa.int64()),
-                "base_score": pa.array([*np.concatenate(rows["base_score"]).tolist(), *nulls], pa.float64()),
-                "score": pa.nulls(n + len(out), pa.float64()),
-                "data": pa.array([None] * n + [x[2] for x in out], pa.binary()),
-            }
-        )
-
-    # A block that several scan tasks met has a row of a word from each.
-    totals = counts.groupBy("block", "word").agg(F.max("total").alias("total"))
-    return blocked.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, _ROW)
-
-
-def probabilities(n: np.ndarray, of: np.ndarray, total: np.ndarray, rare: list[np.ndarray], covered: np.ndarray, lower_p: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """log10 P of bigrams seen n times; of is each one's context.
+            out.append(_pack(_small(b.numbers[h]), _small(b.run[h]), b.need[h].astype(np.uint8), _small(b.seconds[own]), _small(b.seen[own]), _small(b.counts[own])))
+        rows = _rows([_ANSWER] * len(out), table.column("block")[0].as_py(), places, out)
+        return pa.table({n: rows[n] for n in ("block", "place", "data")})
 
-    By context: total occurrences, rare[r - 1] followers seen r times, and covered, the sum of the lower-order
-    probabilities of all seen followers.  Seen followers get d[n] * n / total; what that leaves goes to the others in
-    proportion to the lower order, with the weight left / (1 - covered), so that each context sums to 1.
-    """
-    kept = total - sum((1 - d[r]) * r * rare[r - 1] for r in range(1, GOOD_TURING_K + 1))
-    # A context without discounted followers has nothing left: one more occurrence is assumed, of none of them.
-    denominator = np.where(kept >= total, total + 1, total)
-    left = (denominator - kept) / np.maximum(denominator, 1)
-    weight = np.where(total > 0, left / np.maximum(1 - covered, 1e-12), 1.0)
-    direct = d[np.minimum(n, GOOD_TURING_K + 1)] * n / np.maximum(denominator, 1)[of]
-    return np.log10(np.where(n > 0, direct, weight[of] * lower_p))
+    given = asked.where(F.col("kind") == _TYPES).select("block", "kind", "place", "data").unionByName(_told(words, _WORD_ANSWER))
+    return given.groupBy("block").applyInArrow(run, "block long, place int, data binary")
+
+
+def _told(answers: DataFrame, kind: int) -> DataFrame:
+    return answers.where("block is not null").select("block", F.lit(kind).alias("kind"), "place", "data")
 
 
-def _answers(asked: DataFrame, lower: Unigrams) -> DataFrame:
-    """(block, place, data): for each bigram a block asked of a part its count, and for each context what probabilities() needs.
+def _answers(bigrams: DataFrame, lower: Unigrams) -> DataFrame:
+    """(block, place, data, seen): for each bigram a block asked of a part its count, and for each context what probabilities() needs.
     Rows with a null block have in seen the numbers of the part's bigrams that were seen 1, 2, ... times."""
 
     def run(table: pa.Table) -> pa.Table:
         place = table.column("place")[0].as_py()
         blocks, asks = table.column("block").to_pylist(), [_unpack(x.as_py()) for x in table.column("data")]
-        heads, of = np.unique(np.concatenate([a[0] for a in asks]), return_inverse=True)
+        heads, of = np.unique(np.concatenate([a[0].astype(np.int64) for a in asks]), return_inverse=True)
         h_cuts = np.cumsum([0, *[len(a[0]) for a in asks]])
         first = np.concatenate([np.repeat(of[h_cuts[i] : h_cuts[i + 1]], a[1]) for i, a in enumerate(asks)])
-        second, seen, count = (np.concatenate([a[j] for a in asks]) for j in (2, 3, 4))
+        second, seen, count = (np.concatenate([a[j].astype(np.int64) for a in asks]) for j in (3, 4, 5))
         order = np.lexsort((second, first))
         f, s = first[order], second[order]
         new = np.ones(len(f), bool)
         new[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
         kind = np.cumsum(new) - 1
         n = np.bincount(kind, seen[order]).astype(np.int64)
-        f, c, m = f[new], count[order][new].astype(np.int64), len(heads)
+        f, c, m = f[new], count[order][new], len(heads)
         total = np.bincount(f, n, m).astype(np.int64)
         rare = [np.bincount(f[n == r], minlength=m) for r in range(1, GOOD_TURING_K + 1)]
         covered = np.bincount(f, np.where(n > 0, lower.p(c), 0.0), m)
+        whole = (sum(rare) == 0).astype(np.uint8)
         back = np.empty(len(first), np.int64)
         back[order] = n[kind] if len(n) else 0
-        cuts, data = np.cumsum([0, *[len(a[2]) for a in asks]]), []
-        for i in range(len(asks)):
+        cuts, data = np.cumsum([0, *[len(a[3]) for a in asks]]), []
+        for i, a in enumerate(asks):
             h = of[h_cuts[i] : h_cuts[i + 1]]
-            data.append(_pack(_small(back[cuts[i] : cuts[i + 1]]), _small(total[h]), covered[h].view(np.uint64), *[_small(x[h]) for x in rare]))
-        r = np.bincount(np.minimum(n, GOOD_TURING_K + 2), minlength=GOOD_TURING_K + 3)[1 : GOOD_TURING_K + 2].astype(np.int64)
-        return pa.table({"block": pa.array([*blocks, None], pa.int64()), "place": pa.array([place] * (len(blocks) + 1), pa.int64()), "data": pa.array([*data, None], pa.binary()), "seen": pa.array([*[None] * len(blocks), r.tolist()], pa.list_(pa.int64()))})
+            need = h[a[2] > 0]
+            data.append(_pack(_small(back[cuts[i] : cuts[i + 1]]), _small(total[h]), whole[h], covered[need].view(np.uint64), *[_small(x[need]) for x in rare]))
+        r = np.bincount(np.minimum(n, GOOD_TURING_K + 2), minlength=GOOD_TURING_K + 3)[1 : GOOD_TURING_K + 2].tolist()
+        return _answer_table(blocks, place, data, r)
 
-    rows = asked.where("kind = 2").select("place", "block", "data")
-    return rows.groupBy("place").applyInArrow(run, "block long, place long, data binary, seen array<long>")
+    return bigrams.groupBy("place").applyInArrow(run, "block long, place int, data binary, seen array<long>")
 
 
-def _scored(asked: DataFrame, answers: DataFrame, lower: Unigrams, d: np.ndarray) -> DataFrame:
-    def run(own: pa.Table, told: pa.Table) -> pa.Table:
-        kind = own.column("kind").to_numpy()
-        texts = own.filter(pa.array(kind == 0))
-        uses, doc, count, heads, runs = _unpack(own.filter(pa.array(kind == 1)).column("data")[0].as_py())
-        found = [_unpack(told.column("data")[int(i)].as_py()) for i in np.argsort(told.column("place").to_numpy())]
+def _scored(asked: DataFrame, words: DataFrame, answers: DataFrame, lower: Unigrams, d: np.ndarray, parts: int) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        place, data = table.column("place").to_pylist(), table.column("data")
+        of_kind = lambda k: [(place[i], data[i].as_py()) for i in np.flatnonzero(kind == k).tolist()]
+        texts = table.filter(pa.array(kind == _TEXT))
+        b = _Block(of_kind(_TYPES)[0][1], of_kind(_WORD_ANSWER), lower.total, parts)
+        uses, doc = _unpack(of_kind(_USES)[0][1])
+        found = [_unpack(x) for _, x in sorted(of_kind(_ANSWER))]
         n = np.concatenate([x[0] for x in found]).astype(np.int64)
-        words, of = np.unique(heads, return_inverse=True)
-        sums = lambda j, kind=np.float64: np.bincount(of, np.concatenate([x[j].view(kind) if j == 2 else x[j] for x in found]), len(words))
-        total, covered, rare = sums(1), sums(2), [sums(j) for j in range(3, 3 + GOOD_TURING_K)]
-        p = probabilities(n, np.repeat(of, runs), total, rare, covered, lower.p(count.astype(np.int64)), d)
-        score = np.bincount(doc.astype(np.int64), np.repeat(p, uses), texts.num_rows)[texts.column("doc").to_numpy()]
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
-        return pa.table({**{c: texts.column(c) for c in names}, "score": pa.array(score)})
-
+        context, of = np.unique(b.context, return_inverse=True)
+        m = len(context)
+        total = np.bincount(of, np.concatenate([x[1] for x in found]), m)
+        whole = np.bincount(of, np.concatenate([x[2] for x in found]) == 0, m) == 0
+        covered = np.bincount(of[b.need], np.concatenate([x[3].view(np.float64) for x in found]), m)
+        rare = [np.bincount(of[b.need], np.concatenate([x[j] for x in found]), m) for j in range(4, 4 + GOOD_TURING_K)]
+        p = np.empty(len(n))
+        p[b.order] = probabilities(n, np.repeat(of, b.run), total, whole, rare, covered, lower.p(b.counts), d)
+        doc, c = doc.astype(np.int64), b.total[b.second]
+        size = texts.num_rows
+        sums = {"n_known": np.bincount(doc, np.repeat(c > 0, uses), size).astype(np.int64), "base_score": np.bincount(doc, np.repeat(lower.base(c), uses), size), "score": np.bincount(doc, np.repeat(p, uses), size)}
+        at = texts.column("doc").to_numpy()
+        return pa.table({**{x: texts.column(x) for x in ("doc_id", "held_out", "n_tokens")}, **{x: pa.array(v[at]) for x, v in sums.items()}})
+
+    given = asked.where(F.col("kind") <= _USES)
+    for told, k in ((words, _WORD_ANSWER), (answers, _ANSWER)):
+        given = given.unionByName(_told(told, k), allowMissingColumns=True)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    return asked.where("kind < 2").groupBy("block").cogroup(answers.where("block is not null").groupBy("block")).applyInArrow(run, schema)
+    return given.groupBy("block").applyInArrow(run, schema)
+
+
+def _sums(answers: DataFrame, n: int) -> list[float]:
+    row = answers.where("block is null").agg(*[F.sum(F.get("seen", F.lit(i))).alias(f"n{i}") for i in range(n)]).first()
+    return [float(x or 0) for x in row]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -304,19 +351,15 @@ def score(docs: DataFrame) -> DataFrame:
     repeated rows are learnt and scored each; with nothing to learn from, every token is unknown;
     other columns are not returned; an empty table gives an empty table.
     """
-    blocked = _blocked(docs)
-    counts = word_counts(blocked)
-    ends = docs.where(~held_out_column()).count()
-    some = [F.coalesce(F.sum(F.when(F.col("total") == r, 1)), F.lit(0)).alias(f"n{r}") for r in range(1, GOOD_TURING_K + 2)]
-    sums = counts.where("first").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("total") > 0, 1)), F.lit(0)).alias("kinds"), *some).first()
-    of = [0.0, *[float(sums[f"n{r}"]) + (ends == r) for r in range(1, GOOD_TURING_K + 2)]]
-    lower = Unigrams(float(sums["total"] + ends), float(sums["kinds"] + (ends > 0)), of)
-    lower.n_end = ends
-    asked = cut(_asked(blocked, counts, lower, partitions(docs.sparkSession)))
-    release(docs.sparkSession)
-    answers = cut(_answers(asked, lower))
-    release(docs.sparkSession)
-    n = answers.where("block is null").agg(*[F.sum(F.get("seen", F.lit(r))) for r in range(GOOD_TURING_K + 1)]).first()
-    d = good_turing([0.0, *[float(x or 0) for x in n]])
-    scored = _scored(asked, answers, lower, d)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(lower.total)).cast("long").alias("train_tokens"), "base_score", "score")
+    spark = docs.sparkSession
+    parts = max(32, partitions(spark))
+    asked = cut(blocks(docs, parts))
+    words = cut(_word_answers(asked, parts))
+    total, kinds, *n = _sums(words, GOOD_TURING_K + 3)
+    lower = Unigrams(total, kinds, [0.0, *n])
+    release(spark)
+    answers = cut(_answers(_asked_bigrams(asked, words, total, parts), lower))
+    release(spark)
+    d = good_turing([0.0, *_sums(answers, GOOD_TURING_K + 1)])
+    scored = _scored(asked, words, answers, lower, d, parts)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
