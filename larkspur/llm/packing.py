@@ -19,7 +19,7 @@ from .textkernel import Words, slices
 
 SEQUENCE = 4096
 END_ID = 1
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 500_000
 PIECES = T.StructType().add("piece", T.IntegerType()).add("start", T.LongType()).add("length", T.LongType()).add("ids_crc32", T.LongType())
 
 
@@ -38,9 +38,20 @@ class WordTokens:
     """Token ids of words, each distinct word tokenized once.
 
     The tokenizer splits at white space before anything else looks at the text, so the ids of
-    a text are those of its words in order.
+    a text are those of its words in order.  It lower-cases, and splits letters and digits from what
+    follows; so A-Z is lower-cased here already, and a word's last mark is a unit of its own, which leaves
+    fewer distinct ones.
     """
 
+    @staticmethod
+    def units(column: pa.Array) -> Words:
+        words = Words(column, lower=True)
+        if b"<|" in words.data.tobytes():  # special tokens are found in the text as it is
+            return Words(column, lower=False)
+        code = np.arange(256)
+        words.split_tails(np.isin(code, list(b".,;:!?")), (code < 128) & np.isin(code, list(b"abcdefghijklmnopqrstuvwxyz0123456789")))
+        return words
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -58,10 +69,13 @@ class WordTokens:
             self.forget()
         fresh = ~np.isin(h, self.known, assume_unique=True)
         if fresh.any():
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words.texts(index[fresh]), add_special_tokens=False)]
-            size = np.array([len(x) for x in found], np.int64)
+            texts = words.texts(index[fresh])
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            of = np.searchsorted(ends, np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids)), "right")
+            size = np.bincount(of, minlength=len(texts))
             at = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.uint32)])
+            self.flat = np.concatenate([self.flat, np.array(found.ids, np.uint32)])
             order = np.argsort(known := np.concatenate([self.known, h[fresh]]))
             self.known, self.at, self.size = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
         k = np.searchsorted(self.known, h)[inverse]
@@ -82,7 +96,7 @@ def tokenized_pieces(docs: DataFrame, path: str | None = None, sequence: int = S
         tokens = cache.get(path) or cache.setdefault(path, WordTokens(path))
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, offsets = tokens.ids(Words(part.column(part.schema.get_field_index("text")), lower=False))
+                ids, offsets = tokens.ids(tokens.units(part.column(part.schema.get_field_index("text"))))
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                     own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")

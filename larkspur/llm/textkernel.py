@@ -86,11 +86,25 @@ class Words:
         self.data = table[data] if lower else data
         self.offsets = offsets
         self.first = np.searchsorted(self.start, offsets)
-        power, inverse = powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+        power, self._inverse = powers(n + 1)
+        self._sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:n], out=self._sums[1:])
+        self._hash()
+
+    def _hash(self) -> None:
         size = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + size * np.uint64(0xD6E8FEB86659FD93))
+        self.hash = mix((self._sums[self.end] - self._sums[self.start]) * self._inverse[self.start] + size * np.uint64(0xD6E8FEB86659FD93))
+
+    def split_tails(self, tail: np.ndarray, before: np.ndarray) -> None:
+        """Make the last byte of a word a unit of its own where it is in tail and follows one in before (tables of 256)."""
+        cut = (self.end - self.start >= 2) & tail[self.data[self.end - 1]] & before[self.data[np.maximum(self.end - 2, 0)]]
+        at = np.flatnonzero(cut) + 1
+        ends = self.end[cut]
+        self.first = self.first + np.concatenate([[0], np.cumsum(cut)])[self.first]
+        self.start = np.insert(self.start, at, ends - 1)
+        body = self.end - cut
+        self.end = np.insert(body, at, ends)
+        self._hash()
 
     def texts(self, index: np.ndarray) -> list[str]:
         data = self.data.tobytes()
