@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, release
@@ -255,19 +255,45 @@ def _linked(share: tuple[int, int]):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) for the nodes of links (x, y): the least node reachable.  Labels spread to neighbours and are then followed, so chains halve."""
-    edges = cut(links.select("x", "y").union(links.select(F.col("y"), F.col("x"))).toDF("src", "dst").distinct())
-    labels = cut(edges.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("comp")))
+    """(node, comp) for the nodes of links (x, y): the least node reachable.
+
+    Each part of the links is reduced to its own trees by union and find.  Where a node has several
+    roots, these are the links of the next round, until none are left; then roots are followed upwards.
+    A round leaves at most a row for each node and part, so no task holds more than its part of the links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            top = i
+            while (above := up.setdefault(top, top)) != top:
+                top = above
+            while up[i] != top:
+                up[i], i = top, up[i]
+            return top
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(x), root(y)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(i) for i in nodes], pa.int64())], names=["node", "root"])
+
+    levels, edges = [], links.select("x", "y")
     while True:
-        near = edges.join(labels, edges["dst"] == labels["node"]).groupBy("src").agg(F.min("comp").alias("near"))
-        spread = labels.join(near, labels["node"] == near["src"]).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        spread = cut(spread)
-        up = spread.select(F.col("node").alias("up"), F.col("comp").alias("upper"))
-        followed = cut(spread.join(up, spread["comp"] == up["up"], "left").select("node", "old", F.least("comp", F.coalesce("upper", "comp")).alias("comp")))
-        changed = followed.where("old <> comp").limit(1).count()
-        labels = followed.select("node", "comp")
-        if not changed:
-            return labels
+        least = F.min("root").over(Window.partitionBy("node"))
+        roots = cut(edges.mapInArrow(run, "node long, root long").withColumn("least", least))
+        levels.append(roots.groupBy("node").agg(F.min("least").alias("comp")))
+        edges = roots.where("root <> least").select(F.col("least").alias("x"), F.col("root").alias("y")).distinct()
+        if edges.isEmpty():
+            break
+    out = levels[0]
+    for level in levels[1:]:
+        above = level.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        out = out.join(above, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    return cut(out)
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
