@@ -83,7 +83,7 @@ def mix(
     seed: int = 17,
     size: Column | None = None,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, n_taken int, taken long), one row for each row of docs.
+    """(doc_id, source, size, source_size, target, n_taken int, taken long, tie), one row for each row of docs; tie is a hash of the text.
 
     Each source's documents are shuffled by a hash and stand in line up to max_repeats times.
     A document's virtual finish time is its source's running size divided by the source's
@@ -121,7 +121,7 @@ def mix(
         line.withColumn("inside", inside)
         .join(starts, ["src", "bucket"])
         .withColumn("upto", F.col("start") + F.col("inside"))
-        .select("doc_id", "source", "size", "source_size", F.col("target"), "upto")
+        .select("doc_id", "source", "size", "source_size", "target", "upto", "tie")
     )
     goal = F.nullif(F.col("target"), F.lit(0.0))
     turns = (
@@ -145,4 +145,4 @@ def mix(
         end = low
     times = sum([F.when((f <= 1.0) | ((f < end) & (f - F.col("size") / goal < 1.0)), 1).otherwise(0) for f in finish], F.lit(0))
     taken = F.when(F.col("size") > 0, times).otherwise(F.lit(0)).cast("int")
-    return line.select("doc_id", "source", "size", "source_size", "target", taken.alias("n_taken"), (taken * F.col("size")).cast("long").alias("taken"))
+    return line.select("doc_id", "source", "size", "source_size", "target", taken.alias("n_taken"), (taken * F.col("size")).cast("long").alias("taken"), "tie")

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from . import oracles
 from .common import read_table
 from . import katz
+from .chat import format_conversations
 from .fingerprint import edited_fingerprints
 from .jaccard_join import jaccard_components
 from .lang_id import detect
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .packing import pack
+from .substring_dedup import repeated_passages
 from .topk import search
 
 
@@ -46,6 +48,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = format_conversations(spark, read_table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "call_id", "depth", "status", "valid", F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_passages", "n_words", "first_partner")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -55,8 +67,8 @@ def op10_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_topk_search, op4_language_id, op5_mix_sources, op7_line_dedup, op9_fingerprints, op10_katz_scoring)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_topk_search, op4_language_id, op5_mix_sources, op6_chat_formatting, op7_line_dedup, op8_substring_dedup, op9_fingerprints, op10_katz_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": oracles.LINE_DEDUP}
+    return {"op3_topk_search": oracles.TOPK, "op6_chat_formatting": oracles.CHAT, "op7_line_dedup": oracles.LINE_DEDUP}
