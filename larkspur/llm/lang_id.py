@@ -18,10 +18,12 @@ from .textkernel import Words, powers, slices
 
 UNDETERMINED = "und"
 #: Bounds of the sample of labelled rows that the models are fitted on, for each language.
-FIT_ROWS = 600
-FIT_CHARS = 3_000_000
+FIT_ROWS = 300
+FIT_CHARS = 1_000_000
 FIT_ROUNDS = 3
 FIT_WORD_CHARS = 40
+#: Distinct words that the driver takes at once.
+FIT_WORDS = 10_000
 UNKNOWN = 1e-6
 KNOWN_WORDS = 300_000
 
@@ -185,7 +187,7 @@ def fit(sample: list[tuple[str, str]], pieces: list[str], rounds: int = FIT_ROUN
     use = [i for i, t in enumerate(texts) if len(t) <= FIT_WORD_CHARS]
     texts, weight = [texts[i] for i in use], weight[use]
     for _ in range(rounds if texts else 0):
-        counts = expected_counts(kinds, p, texts, weight)[: kinds.n]
+        counts = sum(expected_counts(kinds, p, texts[i : i + FIT_WORDS], weight[i : i + FIT_WORDS]) for i in range(0, len(texts), FIT_WORDS))[: kinds.n]
         counts += 200.0 * prior[:, None]  # the same for all languages: only evidence tells them apart
         p[: kinds.n] = counts / counts.sum(0)
     return langs, p
