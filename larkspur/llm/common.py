@@ -63,10 +63,11 @@ def _remove(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession) -> None:
     """Have the driver drop shuffle files that only plans before a cut could read, which it does as it collects its garbage.
 
-    A first collection finds what only the cleaner still refers to; the files go after another.
+    What Python lets go reaches the JVM within about a second, and the files go after a collection there.
     """
-    for _ in range(3):
-        gc.collect()
+    gc.collect()
+    time.sleep(1.3)
+    for _ in range(2):
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
 
