@@ -33,6 +33,8 @@ SHARE = (90, 100)
 #: Cells of the table of shingle counts by which the index orders shingles; its size is fixed, and no result depends on it.
 CELL_BITS = 20
 CHUNKS = 64
+#: Links that a task reduces to trees at once.
+EDGES = 250_000
 #: Nodes in more pairs than this have their text copied to SALTS parts for verification.
 HEAVY = 500
 #: Up to so many nodes (8 MB) are broadcast to select their texts; beyond, texts and nodes are joined by a shuffle.
@@ -257,9 +259,9 @@ def _linked(share: tuple[int, int]):
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of links (x, y): the least node reachable.
 
-    Each part of the links is reduced to its own trees by union and find.  Where a node has several
-    roots, these are the links of the next round, until none are left; then roots are followed upwards.
-    A round leaves at most a row for each node and part, so no task holds more than its part of the links.
+    Parts of about EDGES links are reduced to trees by union and find.  Where a node has several roots, these
+    are the links of the next round, until one part is left; then roots are followed upwards.  No task
+    holds more than its part of the links, and each round leaves at most a link for each node and part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,14 +283,16 @@ def components(links: DataFrame) -> DataFrame:
         nodes = list(up)
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(i) for i in nodes], pa.int64())], names=["node", "root"])
 
-    levels, edges = [], links.select("x", "y")
+    levels, edges = [], cut(links.select("x", "y"))
     while True:
-        least = F.min("root").over(Window.partitionBy("node"))
-        roots = cut(edges.mapInArrow(run, "node long, root long").withColumn("least", least))
-        levels.append(roots.groupBy("node").agg(F.min("least").alias("comp")))
-        edges = roots.where("root <> least").select(F.col("least").alias("x"), F.col("root").alias("y")).distinct()
-        if edges.isEmpty():
+        parts = -(-edges.count() // EDGES) or 1
+        roots = edges.coalesce(parts).mapInArrow(run, "node long, root long")
+        if parts == 1:
+            levels.append(cut(roots.withColumnRenamed("root", "comp")))
             break
+        roots = cut(roots.withColumn("least", F.min("root").over(Window.partitionBy("node"))))
+        levels.append(roots.groupBy("node").agg(F.min("least").alias("comp")))
+        edges = cut(roots.where("root <> least").select(F.col("least").alias("x"), F.col("root").alias("y")).distinct())
     out = levels[0]
     for level in levels[1:]:
         above = level.select(F.col("node").alias("comp"), F.col("comp").alias("top"))

@@ -98,6 +98,26 @@ def test_jaccard_components(docs):
     assert sorted(tuple(r) for r in jaccard_components(df).collect()) == brute_components(rows)
 
 
+def test_components_in_several_rounds(spark, monkeypatch):
+    from larkspur.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "EDGES", 40)
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(0, 150)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(180)]
+    up = {i: i for i in range(401)}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    rng.shuffle(links)
+    got = jaccard_join.components(spark.createDataFrame(links, "x long, y long").repartition(9)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, root(i)) for i in {x for p in links for x in p})
+
+
 def test_jaccard_hot_group_and_outliers(spark):
     rng = random.Random(9)
     base = " ".join(f"b{i}" for i in range(150))
