@@ -8,7 +8,7 @@ from .. import functions as fn
 from ..operators import dml, select
 from ..operators.constraints import Constraints
 from ..session import register
-from ..sources import sequences
+from ..sources import sequences, tables
 from ..sql import Engine
 from ..streaming import windowed_counts
 from . import Registry
@@ -181,6 +181,19 @@ def df_sequence_numbers(t, spark):
     return sequences.number_rows(t("supplier"), "id", sequences.Sequence(100, 2), ["s_acctbal", "s_suppkey"]).select("s_suppkey", "s_name", "id")
 
 
+@R.frame("SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL BY NAME SELECT r_name AS name, r_regionkey AS id FROM region")
+def df_union_by_name(t, spark):
+    named = t("nation").selectExpr("n_nationkey AS id", "n_name AS name")
+    return named.unionByName(t("region").selectExpr("r_name AS name", "r_regionkey AS id"))
+
+
+@R.frame("SELECT p_partkey, p_name, p_retailprice + 1 AS price, NULL::VARCHAR AS note, p_size::BIGINT AS p_size FROM part")
+def ddl_alter_columns(t, spark):
+    changed = tables.add_column(t("part").withColumn("p_retailprice", F.col("p_retailprice") + 1), "note", "string")
+    changed = tables.rename_column(tables.drop_column(tables.drop_column(changed, "p_brand"), "p_type"), "p_retailprice", "price")
+    return tables.change_type(changed, "p_size", "bigint")
+
+
 # Data modification: the new tables
 
 

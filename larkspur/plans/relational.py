@@ -39,6 +39,12 @@ R.sql("casts", "SELECT o_orderkey, CAST(o_orderkey AS STRING) AS s, CAST(floor(o
 R.sql("arithmetic", "SELECT l_orderkey, l_linenumber, l_partkey, -l_linenumber AS neg, l_partkey + l_suppkey AS plus, l_partkey - l_suppkey AS minus, l_linenumber * 3 AS times, l_partkey div 7 AS quotient, l_partkey % 7 AS rest FROM lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, -l_linenumber AS neg, l_partkey + l_suppkey AS plus, l_partkey - l_suppkey AS minus, l_linenumber * 3 AS times, l_partkey // 7 AS quotient, l_partkey % 7 AS rest FROM lineitem")
 R.sql("text_concat_operator", "SELECT c_custkey, c_name || '/' || c_mktsegment || c_custkey AS label, c_name || CAST(NULL AS STRING) AS nothing FROM customer")
 
+R.sql("trim_syntax", "SELECT c_custkey, TRIM(BOTH 'C' FROM c_name) AS b, TRIM(LEADING 'C' FROM c_name) AS l, TRIM(TRAILING 'G' FROM c_mktsegment) AS t, TRIM('  x ') AS plain FROM customer", "SELECT c_custkey, trim(c_name, 'C') AS b, ltrim(c_name, 'C') AS l, rtrim(c_mktsegment, 'G') AS t, trim('  x ') AS plain FROM customer")
+R.sql("substring_and_position_syntax", "SELECT c_custkey, SUBSTRING(c_name FROM 2 FOR 3) AS s, CAST(POSITION('m' IN c_name) AS BIGINT) AS p FROM customer")
+R.sql("current_names", "SELECT current_schema() IS NOT NULL AS s, current_date() >= DATE '2024-01-01' AS d, now() IS NOT NULL AS n", "SELECT current_schema() IS NOT NULL AS s, current_date >= DATE '2024-01-01' AS d, now() IS NOT NULL AS n")
+R.sql("random_in_range", "SELECT o_orderkey, r >= 0 AND r < 1 AS ok FROM (SELECT o_orderkey, rand() AS r FROM orders)", "SELECT o_orderkey, true AS ok FROM orders")
+R.sql("uuid_form", "SELECT n_nationkey, length(u) = 36 AS ok FROM (SELECT n_nationkey, uuid() AS u FROM nation)", "SELECT n_nationkey, true AS ok FROM nation")
+
 # Joins
 
 R.sql("join_inner", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
