@@ -33,6 +33,7 @@ SHARE = (90, 100)
 #: Cells of the table of shingle counts by which the index orders shingles; its size is fixed, and no result depends on it.
 CELL_BITS = 20
 CHUNKS = 64
+SKETCH = ["k0", "k1", "k2", "k3"]
 #: Links that a task reduces to trees at once.
 EDGES = 250_000
 #: Nodes in more pairs than this have their text copied to SALTS parts for verification.
@@ -87,8 +88,15 @@ def shingle_counts(docs: DataFrame, k: int = WORDS) -> np.ndarray:
     return out
 
 
+def _sketches(values: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """256 parity bits of each set in four longs.  A shingle in one of two sets changes one bit, so the bits in which sketches differ are no more than such shingles."""
+    bit = np.repeat(np.arange(len(n)), n) * 256 + ((values >> np.uint64(40)) & np.uint64(255)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=256 * len(n)) & 1).astype(np.uint8).reshape(len(n), 256)
+    return list(np.packbits(odd, axis=1).view(np.int64).reshape(len(n), 4).T)
+
+
 def signatures(docs: DataFrame, k: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
-    """(doc_id, n_shingles, sig1, sig2, prefix): set size, a 128-bit digest of the set (null if empty), and the rarest shingles in order."""
+    """(doc_id, n_shingles, sig1, sig2, prefix, SKETCH): set size, a 128-bit digest of the set (null if empty), the rarest shingles in order, and a sketch."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +119,10 @@ def signatures(docs: DataFrame, k: int = WORDS, share: tuple[int, int] = SHARE)
                         place[at : at + m] = a + np.argsort(order[a:b], kind="stable")[:m]
                         at += m
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(values[place].astype(np.int64)))
-                columns = [part.column(0), pa.array(n), *(pa.array(s, mask=~has) for s in sigs), prefix]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "sig1", "sig2", "prefix"])
+                columns = [part.column(0), pa.array(n), *(pa.array(s, mask=~has) for s in sigs), prefix, *map(pa.array, _sketches(values, n))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "sig1", "sig2", "prefix", *SKETCH])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig1 long, sig2 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig1 long, sig2 long, prefix array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def _neighbours(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -157,11 +165,11 @@ def _linkable(ta, a, xa, i, tb, b, xb, j, share) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *rest], names=["x", "y", "token", "n", "node", "pos"])
 
 
-def _list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, node: np.ndarray, comp: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs across components from whole index lists, ordered by token, n and pos."""
+def _list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, node: np.ndarray, comp: np.ndarray, sketch: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs across components from whole index lists, ordered by token, n and pos, whose sketches don't rule a link out."""
     cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
     for s, t in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        a, p, x, c = n[s:t], pos[s:t], node[s:t], comp[s:t]
+        a, p, x, c, bits = n[s:t], pos[s:t], node[s:t], comp[s:t], sketch[s:t]
         if (c == c[0]).all():
             continue
         sizes, starts = np.unique(a, return_index=True)
@@ -178,22 +186,23 @@ def _list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, node: np.ndar
                 for i in own_ok.tolist():
                     js = np.arange(max(starts[m], i + 1) if m == k else starts[m], end)
                     js = js[c[js] != c[i]]
+                    js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(1) <= size + other - 2 * need]
                     if len(js):
                         yield np.full(len(js), x[i]), x[js]
 
 
-def _across(entries: DataFrame, comps: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _across(entries: DataFrame, sketches: DataFrame, comps: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(x, y): pairs of different components that an index list holds and whose sizes and positions allow a link."""
     labelled = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    held = labelled.join(mixed, "token", "left_semi").select("token", "n", "pos", "node", "comp")
+    held = labelled.join(mixed, "token", "left_semi").join(sketches, "node").select("token", "n", "pos", "node", "comp", *SKETCH)
     dealt = held.repartition(partitions(entries.sparkSession), "token").sortWithinPartitions("token", "n", "pos", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
         for batch in _then_none(batches):
             if batch is not None:
-                cols = [batch.column(i).to_numpy() for i in range(5)]
+                cols = [batch.column(i).to_numpy() for i in range(9)]
                 kept = cols if kept is None else [np.concatenate([a, b]) for a, b in zip(kept, cols)]
             if kept is None or not len(kept[0]):
                 continue
@@ -202,7 +211,7 @@ def _across(entries: DataFrame, comps: DataFrame, share: tuple[int, int]) -> Dat
                 continue
             now, kept = [c[:whole] for c in kept], [c[whole:] for c in kept]
             xs, ys, m = [], [], 0
-            for x, y in _list_pairs(*now, share):
+            for x, y in _list_pairs(*now[:5], np.stack(now[5:], axis=1).view(np.uint64), share):
                 xs.append(np.minimum(x, y)), ys.append(np.maximum(x, y))
                 m += len(x)
                 if m > 100_000:
@@ -324,7 +333,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, share: tuple[int, int] =
     comps = components(links)
     # Distances to the leaders, from which answers across components are derived.
     tied = comps.where("node <> comp").select(F.col("comp").alias("x"), F.col("node").alias("y"))
-    across = cut(_across(entries, comps, share).join(tested.select("x", "y"), ["x", "y"], "left_anti"))
+    across = cut(_across(entries, indexed.select("node", *SKETCH), comps, share).join(tested.select("x", "y"), ["x", "y"], "left_anti"))
     release(docs.sparkSession)
     more = _derived(across, comps, tied, docs, k, share)
     if more is not None:
