@@ -55,7 +55,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_passages", "n_words", "first_partner")
+    return found.select("doc_id", "n_passages", "n_words", "first_partner", "component_id", "partners")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
