@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import lang_id, line_dedup, mixing, packing
 from larkspur.llm.common import cut_table
-from larkspur.llm.jaccard_join import jaccard_components
+from larkspur.llm.jaccard_join import components, jaccard_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if its language is told with this probability or more.
@@ -36,15 +36,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; rows without a doc_id stay if nothing equals them."""
-    found = jaccard_components(docs, WORDS, SHARE)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    lone = docs.where("doc_id is null").select(*COLUMNS)
-    if not lone.isEmpty():
-        seen = docs.where("doc_id is not null").select("text").distinct()
-        lone = lone.join(seen, "text", "left_anti").dropDuplicates(["text"])
-        return docs.join(first, "doc_id", "left_semi").select(*COLUMNS).unionByName(lone)
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of linked rows one with the smallest doc_id stays, rows without a doc_id counting as the last."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        first = jaccard_components(docs, WORDS, SHARE).where("doc_id = component_id").select("doc_id").distinct()
+        return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    # Rows are told apart by a number; those of one document are linked, whatever their texts, and those without a doc_id to an equal text.
+    rows = cut_table(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()))
+    found = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), WORDS, SHARE).select(F.col("doc_id").alias("y"), F.col("component_id").alias("x"))
+    least = lambda c: F.min("__row").over(Window.partitionBy(c)).alias("x")
+    same = [rows.select(F.col("__row").alias("y"), least(c), "doc_id").where(which).select("y", "x") for c, which in (("doc_id", "doc_id is not null"), ("text", "doc_id is null"))]
+    groups = components(found.unionByName(same[0]).unionByName(same[1]))
+    stays = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row")))["__row"]
+    first = rows.join(groups, rows["__row"] == groups["node"]).groupBy("comp").agg(stays.alias("__row"))
+    return rows.join(first, "__row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,14 @@ def test_near_duplicate_stage(spark, docs):
     assert len(brute_components([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None])) == docs.count() - 2
 
 
+def test_near_duplicate_stage_keeps_one_row(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:59], "other"])
+    rows = [(7, " ".join(words)), (7, " ".join(words)), (None, near), (None, "a b c d e f g"), (None, "a b c d e f g h i j k"), (None, "A b c d e f g"), (9, "alone"), (20, ""), (21, ""), (None, "")]
+    out = cp.drop_near_duplicates(spark, spark.createDataFrame([(i, t, "en", "b", len(t)) for i, t in rows], SCHEMA).repartition(3), "")
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in out.collect()) == [(0, "a b c d e f g"), (0, "a b c d e f g h i j k"), (7, " ".join(words)), (9, "alone"), (20, ""), (21, "")]
+
+
 def test_mixing_stage_takes_what_the_mix_says(spark, docs):
     from larkspur.llm.mixing import mix
 
