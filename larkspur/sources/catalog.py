@@ -1,4 +1,4 @@
-"""information_schema and pg_catalog as DataFrames over the session's catalog."""
+"""tables, columns and schemata of information_schema as DataFrames over the session's catalog; pg_catalog and the views of constraints are left out."""
 
 from __future__ import annotations
 
