@@ -126,6 +126,39 @@ def test_jaccard_hot_group_and_outliers(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("long, small, held, coarse", [(20, 4, 50, 8), (20_000, 3, 300_000, 1), (9, 48, 10, 2)])
+def test_jaccard_in_parts(spark, monkeypatch, long, small, held, coarse):
+    """Lists dealt over parts, pivots, many small forests, and sketches so coarse that trees are read again."""
+    from larkspur.llm import jaccard_join
+
+    for name, value in (("LONG", long), ("SMALL", small), ("HELD", held), ("COARSE", coarse), ("HEAVY", 5)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(small)
+    rows = []
+    for size in (60, 150, 151):
+        base = " ".join(f"b{size}x{i}" for i in range(size))
+        rows += [near(base, rng, rng.choice([0, 1, 2, 2, 3, 4, 5, 6])) for _ in range(70)]
+    rows = [(i, t, None, None, 0, 0.0, "", "") for i, t in enumerate(rows)]
+    got = sorted(tuple(r) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+    assert got == brute_components(rows)
+
+
+def test_sketches_never_exceed_the_difference():
+    from larkspur.llm import jaccard_join
+
+    rng = np.random.default_rng(4)
+    sets = []
+    for size in (20, 300, 310, 330, 2000, 2600):
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[rng.random(size) > p], rng.integers(0, 1 << 63, int(size * p)).astype(np.uint64)])) for p in (0.0, 0.02, 0.1, 0.5)]
+    n = np.array([len(s) for s in sets])
+    sketches = jaccard_join.Sketches(jaccard_join.parity_sketches(np.concatenate(sets), n, (80, 100), 8))
+    i, j = (x.ravel() for x in np.meshgrid(range(len(sets)), range(len(sets))))
+    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    got = sketches.apart(i, j)
+    assert (got <= true).all() and (got[i == j] == 0).all() and (got[true > 3 * n[i]] > 0).all()
+
+
 def test_packing(docs):
     df, rows = docs
     from tokenizers import Tokenizer
