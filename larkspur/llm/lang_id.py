@@ -10,22 +10,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut_table
 from .textkernel import Words, powers, slices
 
 UNDETERMINED = "und"
 #: Bounds of the sample of labelled rows that the models are fitted on, for each language.
-FIT_ROWS = 300
-FIT_CHARS = 1_000_000
+FIT_ROWS = 600
+FIT_CHARS = 3_000_000
 FIT_ROUNDS = 3
-FIT_WORD_CHARS = 40
-#: Distinct words that the driver takes at once.
-FIT_WORDS = 10_000
+#: Code points of the pieces in which longer words are learnt.
+FIT_UNIT = 40
+#: Parts into which the sample's distinct units are dealt, units that a task takes at once, and chunks in which counts are added up.
+FIT_PARTS, FIT_WORDS, CHUNKS = 16, 5_000, 32
+#: Occurrences that the prior stands for.
+PRIOR_COUNT = 200.0
 UNKNOWN = 1e-6
-KNOWN_WORDS = 300_000
+#: Words whose probabilities a worker keeps, and that it scores at once.
+KNOWN_WORDS, WORDS_AT_ONCE = 300_000, 10_000
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -40,10 +46,11 @@ def vocabulary(path: str | None = None) -> list[str]:
     return [sp.id_to_piece(i) for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
 
 
-def _code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the words, each after the mark of a word's start; their starts and lengths."""
-    size = np.array([len(w) + 1 for w in words], np.int64)
-    flat = np.frombuffer("".join("▁" + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+def _code_points(words: list[str], marked: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the words, each after the mark of a word's start unless they have it; their starts and lengths."""
+    words = words if marked else ["▁" + w for w in words]
+    size = np.array([len(w) for w in words], np.int64)
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     return flat, np.cumsum(size) - size, size
 
 
@@ -127,10 +134,10 @@ def forward(pieces: Pieces, probability: np.ndarray, words: list[str]) -> np.nda
     return back
 
 
-def expected_counts(pieces: Pieces, probability: np.ndarray, words: list[str], weight: np.ndarray) -> np.ndarray:
+def expected_counts(pieces: Pieces, probability: np.ndarray, words: list[str], weight: np.ndarray, marked: bool = False) -> np.ndarray:
     """Expected piece counts by language, over all segmentations of words that occur weight (words x languages) times."""
     langs = probability.shape[1]
-    flat, start, size = _code_points(words)
+    flat, start, size = _code_points(words, marked)
     found = pieces.found(flat, start, size)
     place = start + np.arange(len(words))  # each word has a place more than code points
     a = np.zeros((len(flat) + len(words), langs))
@@ -168,28 +175,84 @@ def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.unique(words.hash, return_index=True, return_inverse=True)
 
 
-def fit(sample: list[tuple[str, str]], pieces: list[str], rounds: int = FIT_ROUNDS) -> tuple[list[str], np.ndarray]:
-    """(languages, probabilities of the pieces, the unknown code point and a row of zeros) from (text, language) rows."""
-    langs = sorted({lang for _, lang in sample})
-    kinds = Pieces(pieces)
-    prior = 1.0 / (np.arange(kinds.n) + 100.0)  # the vocabulary stands in order of frequency
+def starting_point(pieces: list[str], langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(prior of the pieces, probabilities to begin with: of the pieces, the unknown code point and a row of zeros, by language)."""
+    prior = 1.0 / (np.arange(len(pieces)) + 100.0)  # the vocabulary stands in order of frequency
     prior /= prior.sum()
-    p = np.zeros((kinds.n + 2, max(len(langs), 1)))
-    p[: kinds.n], p[kinds.n] = prior[:, None], UNKNOWN
-    if not sample:
-        return [], p[:, :0]
-    words = Words(pa.array([t for t, _ in sample]), lower=False)
-    _, index, inverse = _distinct(words)
-    lang_of = np.repeat(np.searchsorted(langs, [lang for _, lang in sample]), np.diff(words.first))
-    weight = np.zeros((len(index), len(langs)))
-    np.add.at(weight, (inverse, lang_of), 1.0)
-    texts = words.texts(index)
-    use = [i for i, t in enumerate(texts) if len(t) <= FIT_WORD_CHARS]
-    texts, weight = [texts[i] for i in use], weight[use]
-    for _ in range(rounds if texts else 0):
-        counts = sum(expected_counts(kinds, p, texts[i : i + FIT_WORDS], weight[i : i + FIT_WORDS]) for i in range(0, len(texts), FIT_WORDS))[: kinds.n]
-        counts += 200.0 * prior[:, None]  # the same for all languages: only evidence tells them apart
-        p[: kinds.n] = counts / counts.sum(0)
+    p = np.zeros((len(pieces) + 2, langs))
+    p[: len(pieces)], p[len(pieces)] = prior[:, None], UNKNOWN
+    return prior, p
+
+
+def next_probabilities(p: np.ndarray, counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """The maximisation step: expected counts and the prior, which is the same for all languages, so that only evidence tells them apart."""
+    smoothed = counts[: len(prior)] + PRIOR_COUNT * prior[:, None]
+    return np.concatenate([smoothed / smoothed.sum(0), p[len(prior) :]])
+
+
+def units(texts: list[str]) -> list[str]:
+    """Words after the mark of a word's start, in consecutive pieces of at most FIT_UNIT code points."""
+    return [m[i : i + FIT_UNIT] for m in ("▁" + t for t in texts) for i in range(0, len(m), FIT_UNIT)]
+
+
+def unit_counts(sample: DataFrame, langs: list[str]) -> DataFrame:
+    """(unit, counts): distinct units of a sample (text, lang), and how often each language has them."""
+    at = {lang: i for i, lang in enumerate(langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column(0), lower=False)
+                _, index, inverse = _distinct(words)
+                lang = np.repeat(np.array([at[x] for x in part.column(1).to_pylist()], np.int64), np.diff(words.first))
+                cell, n = np.unique(inverse * len(langs) + lang, return_counts=True)
+                word, k = cell // len(langs), cell % len(langs)
+                texts = words.texts(index)
+                own = [units([texts[i]]) for i in word.tolist()]
+                size = [len(x) for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array([u for x in own for u in x], pa.string()), pa.array(np.repeat(k, size), pa.int32()), pa.array(np.repeat(n, size), pa.int64())], names=["unit", "lang", "n"])
+
+    found = sample.select("text", "lang").mapInArrow(run, "unit string, lang int, n long")
+    counts = F.array(*[F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).cast("double") for i in range(len(langs))])
+    return found.groupBy("unit").agg(counts.alias("counts"))
+
+
+def fit(sample: DataFrame, pieces: list[str], rounds: int = FIT_ROUNDS) -> tuple[list[str], np.ndarray]:
+    """(languages, probabilities of the pieces, the unknown code point and a row of zeros) from rows (text, lang).
+
+    Each round's expectation is taken on the executors, over parts of the distinct units; what reaches the
+    driver is a table of vocabulary x languages.
+    """
+    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+    prior, p = starting_point(pieces, len(langs))
+    if not langs:
+        return [], p
+    spark = sample.sparkSession
+    counted = cut_table(unit_counts(sample, langs).repartition(FIT_PARTS))
+    width = -(-(len(pieces) + 2) // CHUNKS)
+
+    for _ in range(rounds):
+        model = spark.sparkContext.broadcast((pieces, p))
+
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces, p = model.value
+            kinds, total = Pieces(pieces), np.zeros(p.shape)
+            for batch in batches:
+                for i in range(0, batch.num_rows, FIT_WORDS):
+                    part = batch.slice(i, FIT_WORDS)
+                    weight = pc.list_flatten(part.column(1)).to_numpy().reshape(part.num_rows, p.shape[1])
+                    total += expected_counts(kinds, p, part.column(0).to_pylist(), weight, marked=True)
+            chunks = [np.ascontiguousarray(total[i : i + width]).tobytes() for i in range(0, len(total), width)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "counts"])
+
+        def add(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("counts"))
+            return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+        rows = counted.mapInArrow(expect, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+        counts = np.concatenate([np.frombuffer(r["counts"], np.float64) for r in sorted(rows, key=lambda r: r["chunk"])]).reshape(p.shape)
+        p = next_probabilities(p, counts, prior)
+        model.unpersist()
     return langs, p
 
 
@@ -202,24 +265,22 @@ def held_out_column():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit_sample(docs: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> list[tuple[str, str]]:
-    """About `rows` whole texts and at most about `chars` code points of each language, chosen by a hash of the row."""
-    usable = training_rows(docs).select("doc_id", "text", "lang")
-    per = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+def fit_sample(docs: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> DataFrame:
+    """(text, lang): about `rows` whole texts and about `chars` code points of each language, chosen by a hash of the row, and one text at least."""
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") / float(1 << 53)).alias("u")
+    usable = training_rows(docs).select("text", "lang", u)
+    per = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min("u").alias("first"))
     share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("n"), F.lit(float(chars)) / F.greatest(F.col("chars"), F.lit(1)))
-    shares = {r["lang"]: r["share"] for r in per.select("lang", share.alias("share")).collect()}  # a row for each language
-    if not shares:
-        return []
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") / float(1 << 53)
-    limit = F.create_map(*[x for lang, s in shares.items() for x in (F.lit(lang), F.lit(s))])[F.col("lang")]
-    return [(r["text"], r["lang"]) for r in usable.where(u < limit).select("text", "lang").collect()]
+    shares = per.select("lang", F.greatest(share, "first").alias("share"))  # a row for each language
+    return usable.join(F.broadcast(shares), "lang").where(F.col("u") <= F.col("share")).select("text", "lang")
 
 
 def identify(docs: DataFrame, langs: list[str], pieces: list[str], probability: np.ndarray) -> DataFrame:
     """docs with lang_pred and score, the probability of lang_pred given the text if all languages are as likely.
 
     Defined cases: a text that is null or has no letter (Unicode category L), and every text if
-    nothing was learnt, gets "und" and score 0; ties go to the first language by name; input columns
+    nothing was learnt, gets "und" and score 0; very long texts are scored whole, a slice with one of them being that
+    text alone; ties go to the first language by name; rows that repeat are told each by itself, alike; input columns
     called lang_pred or score are replaced; an empty table gives an empty table.
     """
     docs = docs.drop("lang_pred", "score")
@@ -238,14 +299,13 @@ def identify(docs: DataFrame, langs: list[str], pieces: list[str], probability:
                 if langs and any(letters):
                     words = Words(column, lower=False)
                     h, index, inverse = _distinct(words)
-                    fresh = ~np.isin(h, known, assume_unique=True)
-                    if fresh.any():
-                        if len(known) > KNOWN_WORDS:
-                            known, scores, fresh = known[:0], scores[:0], np.ones(len(h), bool)
-                        new = forward(kinds, probability, words.texts(index[fresh]))
-                        known, scores = np.concatenate([known, h[fresh]]), np.concatenate([scores, new])
-                        order = np.argsort(known)
-                        known, scores = known[order], scores[order]
+                    if len(known) > KNOWN_WORDS:
+                        known, scores = known[:0], scores[:0]
+                    at = np.searchsorted(known, h)
+                    fresh = np.flatnonzero((at == len(known)) | (np.append(known, np.uint64(0))[at] != h))
+                    if len(fresh):
+                        new = [forward(kinds, probability, words.texts(index[fresh[i : i + WORDS_AT_ONCE]])) for i in range(0, len(fresh), WORDS_AT_ONCE)]
+                        known, scores = np.insert(known, at[fresh], h[fresh]), np.insert(scores, at[fresh], np.concatenate(new), axis=0)
                     each = scores[np.searchsorted(known, h)][inverse]
                     sums = np.concatenate([np.zeros((1, len(langs))), np.cumsum(each, 0)])
                     total = sums[words.first[1:]] - sums[words.first[:-1]]
@@ -261,7 +321,11 @@ def identify(docs: DataFrame, langs: list[str], pieces: list[str], probability:
 
 
 def detect(docs: DataFrame, vocabulary_path: str | None = None, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> DataFrame:
-    """Fit on the rows of docs that may be learnt from, then identify every row; adds held_out, lang_pred and score."""
+    """Fit on the rows of docs that may be learnt from, then identify every row; adds held_out, lang_pred and score.
+
+    Defined cases: as for `identify`; rows whose lang or text is null, or whose doc_id is held out, aren't learnt from, a null doc_id counting as the id "";
+    every language among the others has at least one of its texts in the sample; an input column called held_out is replaced.
+    """
     pieces = vocabulary(vocabulary_path)
     langs, probability = fit(fit_sample(docs, rows, chars), pieces)
     return identify(docs.withColumn("held_out", held_out_column()), langs, pieces, probability)

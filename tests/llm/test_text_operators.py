@@ -237,6 +237,62 @@ def test_language_forward_sums_all_segmentations():
     assert np.allclose(got, want)
 
 
+def test_language_fit_against_brute_force(spark):
+    pieces = ["▁", "a", "b", "ab", "▁a", "▁ab", "ba", "aba"]
+    sample = [("abab ba\nab", "x"), ("b a\tabab", "x"), ("bab bab bab aba", "y"), ("ab" * 60, "y"), ("é ab", "z")]
+    prior = [1 / (i + 100) for i in range(len(pieces))]
+    prior = [x / sum(prior) for x in prior]
+
+    def segmentations(unit):
+        """(product of nothing, pieces) of all ways to cut a unit; an unknown code point stands alone."""
+        if not unit:
+            return [[]]
+        heads = [p for p in pieces if unit.startswith(p)] + ([] if unit[0] in pieces else [unit[0]])
+        return [[h, *rest] for h in heads for rest in segmentations(unit[len(h) :])]
+
+    def brute(lang):
+        p = dict(zip(pieces, prior))
+        units = Counter(u for t, k in sample if k == lang for w in t.split() for u in lang_id.units([w]))
+        for _ in range(2):
+            counts = Counter()
+            for u, n in units.items():
+                if len(u) > 12:  # too many to list: by the pieces' places instead
+                    f, b = [1.0] + [0.0] * len(u), [0.0] * len(u) + [1.0]
+                    for e in range(1, len(u) + 1):
+                        f[e] = sum(f[e - len(q)] * x for q, x in p.items() if u[:e].endswith(q) and len(q) <= e)
+                    for e in range(len(u) - 1, -1, -1):
+                        b[e] = sum(b[e + len(q)] * x for q, x in p.items() if u[e:].startswith(q))
+                    for e in range(1, len(u) + 1):
+                        for q, x in p.items():
+                            if len(q) <= e and u[:e].endswith(q):
+                                counts[q] += n * f[e - len(q)] * x * b[e] / f[-1]
+                    continue
+                ways = [(math.prod(p.get(q, 1e-6) for q in way), way) for way in segmentations(u)]
+                for x, way in ways:
+                    for q in way:
+                        counts[q] += n * x / sum(w for w, _ in ways)
+            smoothed = [counts[q] + lang_id.PRIOR_COUNT * x for q, x in zip(pieces, prior)]
+            p = {q: x / sum(smoothed) for q, x in zip(pieces, smoothed)}
+        return [p[q] for q in pieces]
+
+    langs, p = lang_id.fit(spark.createDataFrame(sample, "text string, lang string").repartition(3), pieces, rounds=2)
+    assert langs == ["x", "y", "z"] and (p[len(pieces)] == 1e-6).all() and (p[-1] == 0).all()
+    assert np.allclose(p[: len(pieces)].T, [brute(x) for x in langs])
+
+
+def test_language_with_few_long_rows(spark):
+    """One row, far beyond the bound on code points, and words without spaces, are learnt from; no language is dropped."""
+    rng = random.Random(3)
+    speak = lambda syllables, n, gap: gap.join("".join(rng.choice(syllables) for _ in range(3)) for _ in range(n))
+    a, b, c = ["ba", "lo", "ti", "ru"], ["sk", "ve", "my", "no"], ["hu", "wa", "ki", "zo"]
+    rows = [(i, speak(a, 50, " "), "aa") for i in range(40)] + [(100 + i, speak(b, 400, ""), "bb") for i in range(20)] + [(1000 + 7 * i, speak(c, 12_000, " "), "cc") for i in range(1)]
+    rows += [(-1 - i, speak(x, 30, gap), None) for i, (x, gap) in enumerate([(a, " "), (b, ""), (c, " ")] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang for r in lang_id.fit_sample(df, 30, 2_000).select("lang").distinct().collect()} == {"aa", "bb", "cc"}
+    got = {r.doc_id: r.lang_pred for r in lang_id.detect(df, rows=30, chars=2_000).collect()}
+    assert [got[-1 - i] for i in range(9)] == ["aa", "bb", "cc"] * 3
+
+
 def test_language_accuracy_and_cases(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     extra = spark.createDataFrame([(None, "the and of", None), (-1, None, "en"), (-2, "", "en"), (-3, "123 !? 456", "de"), (-4, "é" * 5000, None)], rows.schema)
