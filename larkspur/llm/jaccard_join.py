@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join: exact links between shingle sets, and the components they form.
 
 Equal sets are one node.  Nodes are indexed under their rarest shingles (the prefix that any
-partner must share), with set size and position; entries that stand alone in their list go at once.
+partner must share), with set size and position; entries without another of about their size in their list go at once.
 Relations between sets then save most of the work:
 
 1. A list is read block by block (a block: equal sizes, ordered by position); a probe takes from each
@@ -170,26 +170,26 @@ def signatures(docs: DataFrame, k: int = WORDS, share: tuple[int, int] = SHARE)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig1 long, sig2 long, prefix array<long>, sketch binary")
 
 
-def shared_entries(nodes: DataFrame) -> DataFrame:
-    """(token, n, pos, node): the index entries that don't stand alone in their list.
+def shared_entries(nodes: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
+    """(token, n, pos, node): the index entries whose list has another entry of a size that can be linked.
 
-    The lists are cut by range, so that a long one is spread over tasks; of the tokens at the ends of a part all entries stay.
+    The lists are cut by range and ordered by size, so that a long one is spread over tasks and an entry needs to
+    look at those beside it only; the first and the last entry of a part always stay.
     """
     names = ["token", "n", "pos", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last, known = None, None, False  # last: the row held back, known: whether it stays
+        last, known = None, True  # last: the row held back, known: whether it stays
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(i).to_numpy() for i in range(4)]
             if last is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(last, cols)]
-            token = cols[0]
-            first = token[0] if first is None else first
-            keep = token == first
-            keep[0] |= known
-            same = token[1:] == token[:-1]
+            token, n = cols[:2]
+            keep = np.zeros(len(token), bool)
+            keep[0] = known
+            same = (token[1:] == token[:-1]) & (share[1] * n[:-1] >= share[0] * n[1:])
             keep[1:] |= same
             keep[:-1] |= same
             last, known = [c[-1:] for c in cols], keep[-1]
@@ -495,7 +495,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, share: tuple[int, int] =
     key = ["sig1", "sig2", "n_shingles"]
     sets = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     nodes = cut_table(sets.groupBy(*key).agg(F.min("doc_id").alias("node"), F.min_by(F.struct("prefix", "sketch"), "doc_id").alias("s")).select("*", "s.*", F.col("n_shingles").alias("n")).drop("s"))
-    entries = cut_table(shared_entries(nodes))
+    entries = cut_table(shared_entries(nodes, share))
     tested = _tested(candidates(entries.withColumn("comp", F.col("node")), nodes.select("node", "n", "sketch"), share, forest=True), docs, k, share)
     links = tested.where("linked").select("x", "y")
     if not tested.where("not linked").isEmpty():
