@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: The ASCII white space that separates words: \x20 and \x09 to \x0D.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_CLASS = r"[ \t-\r]"
+#: Bytes of a batch of rows that goes to Python, about.
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,6 +75,12 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have batches that go to Python bounded by bytes, as 10,000 long texts may not fit in memory; a bound that the session sets itself stays."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

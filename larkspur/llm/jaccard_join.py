@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, cut_table, partitions
+from .common import bound_batches, cut, cut_table, partitions
 from .textkernel import Words, mix, shingles, slices, unique_sets
 
 WORDS = 3
@@ -491,6 +491,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, share: tuple[int, int] =
     rows that share a doc_id are one document, reached through any of its texts; a null doc_id gets the
     component of its text's equals, or null; other columns are not returned; an empty table gives an empty table.
     """
+    bound_batches(docs.sparkSession)
     signed = cut_table(signatures(docs, k, share))
     key = ["sig1", "sig2", "n_shingles"]
     sets = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())

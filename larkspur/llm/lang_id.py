@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_table
+from .common import bound_batches, cut_table
 from .textkernel import Words, powers, slices
 
 UNDETERMINED = "und"
@@ -26,12 +26,12 @@ FIT_ROUNDS = 3
 #: Code points of the pieces in which longer words are learnt.
 FIT_UNIT = 40
 #: Parts into which the sample's distinct units are dealt, units that a task takes at once, and chunks in which counts are added up.
-FIT_PARTS, FIT_WORDS, CHUNKS = 16, 5_000, 32
+FIT_PARTS, FIT_WORDS, CHUNKS = 16, 3_000, 32
 #: Occurrences that the prior stands for.
 PRIOR_COUNT = 200.0
 UNKNOWN = 1e-6
 #: Words whose probabilities a worker keeps, and that it scores at once.
-KNOWN_WORDS, WORDS_AT_ONCE = 300_000, 10_000
+KNOWN_WORDS, WORDS_AT_ONCE = 200_000, 4_000
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -326,6 +326,7 @@ def detect(docs: DataFrame, vocabulary_path: str | None = None, rows: int = FIT_
     Defined cases: as for `identify`; rows whose lang or text is null, or whose doc_id is held out, aren't learnt from, a null doc_id counting as the id "";
     every language among the others has at least one of its texts in the sample; an input column called held_out is replaced.
     """
+    bound_batches(docs.sparkSession)
     pieces = vocabulary(vocabulary_path)
     langs, probability = fit(fit_sample(docs, rows, chars), pieces)
     return identify(docs.withColumn("held_out", held_out_column()), langs, pieces, probability)

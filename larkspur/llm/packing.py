@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, partitions
+from .common import bound_batches, cut, partitions
 from .textkernel import Words, slices
 
 SEQUENCE = 4096
@@ -174,6 +174,7 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end
     each by itself; null doc_ids are packed like others; an empty table gives an empty table.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.drop("sequence_id", "offset")
     blocks = max(64, partitions(spark))
     pieces = tokenized_pieces(docs, path, sequence, end_id)

@@ -1,7 +1,7 @@
 """Vectorised word handling on Arrow string columns: words, 64-bit word hashes, shingle sets.
 
 A word is a maximal run of bytes outside \\x20 and \\x09-\\x0D of the UTF-8 text.  All
-functions see whole texts; long columns are handled a megabyte or two at a time.
+functions see whole texts; long columns are handled half a megabyte at a time, a longer text by itself.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 500_000
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
