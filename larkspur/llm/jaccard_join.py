@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, cut, cut_table, partitions
-from .textkernel import Words, mix, shingles, slices, unique_sets
+from .textkernel import Words, mix, once, shingles, slices, unique_sets
 
 WORDS = 3
 SHARE = (90, 100)
@@ -408,37 +408,39 @@ def candidates(entries: DataFrame, sketches: DataFrame, share: tuple[int, int],
     return dealt.mapInArrow(run, "x long, y long").distinct()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(x, y, shared, nx, ny) for pairs of doc_ids: sizes of the intersection and of both sets.
+def pair_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of doc_ids (x, y) with their other columns and x_text and y_text; x and y may change places.
 
     The text of a pair's less used end goes to its other end, whose text is sent once for all its pairs.
     """
-    pairs = cut_table(pairs)
     ends = cut_table(pairs.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("uses")))
     few = ends.count() <= FEW_NODES  # then the texts of all other documents needn't be shuffled to be left out
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(F.broadcast(ends) if few else ends, "node")
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(F.broadcast(ends) if few else ends, "node")
     dealt = pairs
     for side in ("x", "y"):
         dealt = dealt.join(ends.select(F.col("node").alias(side), F.col("uses").alias(f"{side}_uses")), side)
     swap = F.col("x_uses") > F.col("y_uses")
     salts = lambda uses: F.when(uses > HEAVY, SALTS).otherwise(1)
-    dealt = dealt.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"), F.greatest("x_uses", "y_uses").alias("uses"))
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("x", "y"), salts(F.col("uses"))).cast("int")).drop("uses")
+    rest = [c for c in pairs.columns if c not in ("x", "y")]
+    dealt = dealt.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"), *rest, F.greatest("x_uses", "y_uses").alias("__uses"))
+    dealt = dealt.withColumn("__salt", F.pmod(F.xxhash64("x", "y"), salts(F.col("__uses"))).cast("int")).drop("__uses")
     dealt = dealt.join(texts.select(F.col("node").alias("x"), F.col("text").alias("x_text")), "x")
-    hubs = texts.select(F.col("node").alias("y"), F.explode(F.sequence(F.lit(0), salts(F.col("uses")) - 1)).alias("salt"), F.col("text").alias("y_text"))
-    dealt = dealt.join(hubs, ["y", "salt"])
+    hubs = texts.select(F.col("node").alias("y"), F.explode(F.sequence(F.lit(0), salts(F.col("uses")) - 1)).alias("__salt"), F.col("text").alias("y_text"))
+    return dealt.join(hubs, ["y", "__salt"]).select("x", "y", *rest, "x_text", "y_text")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """(x, y, shared, nx, ny) for pairs of doc_ids, x < y: sizes of the intersection and of both sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "x_text"):
-                sets = []
-                for name in ("x_text", "y_text"):
-                    sets.append(unique_sets(*shingles(Words(part.column(part.schema.get_field_index(name)), lower=True), k)))
-                (u, a), (v, b) = sets
-                shared = [len(np.intersect1d(u[a[i] : a[i + 1]], v[b[i] : b[i + 1]], assume_unique=True)) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared, pa.int64()), pa.array(np.diff(a)), pa.array(np.diff(b))], names=["x", "y", "shared", "nx", "ny"])
-
-    found = dealt.select("x", "y", "x_text", "y_text").mapInArrow(run, "x long, y long, shared long, nx long, ny long")
+            for part in slices(batch, "x_text", "y_text"):
+                u, a = _sets(part.select(["x_text"]).rename_columns(["text"]), k)
+                (v, b), of = once(part.column(1), part.column(3), lambda t: unique_sets(*shingles(Words(t, lower=True), k)))
+                shared = [len(np.intersect1d(u[a[i] : a[i + 1]], v[b[j] : b[j + 1]], assume_unique=True)) for i, j in enumerate(of.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared, pa.int64()), pa.array(np.diff(a)), pa.array(np.diff(b)[of])], names=["x", "y", "shared", "nx", "ny"])
+
+    found = pair_texts(cut_table(pairs), docs).mapInArrow(run, "x long, y long, shared long, nx long, ny long")
     return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "shared", F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("nx"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("ny"))
 
 

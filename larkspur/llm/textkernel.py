@@ -6,7 +6,7 @@ functions see whole texts; long columns are handled half a megabyte at a time, a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +56,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(table: pa.RecordBatch | pa.Table, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch | pa.Table]:
-    """Runs of rows with about `most` bytes of text, a longer text by itself."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(table.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if table.num_rows else np.zeros(0, np.int64)
+def slices(table: pa.RecordBatch | pa.Table, *texts: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Runs of rows with about `most` bytes in the columns `texts`, a longer row by itself."""
+    size = np.zeros(table.num_rows, np.int64)
+    for name in texts:
+        size += pc.fill_null(pc.binary_length(table.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
     at = 0
     while at < table.num_rows:
         done = ends[at - 1] if at else 0
@@ -67,6 +70,16 @@ def slices(table: pa.RecordBatch | pa.Table, text: str, most: int = SLICE_BYTES)
         at = to
 
 
+def once(ids: pa.Array, texts: pa.Array, f: Callable[[pa.Array], object]) -> tuple[object, np.ndarray]:
+    """f of the texts where each run of rows with an id and a text has it once, and for each row its place there."""
+    n = len(ids)
+    new = np.ones(n, bool)
+    if n > 1:
+        same = pc.and_kleene(pc.equal(ids[1:], ids[:-1]), pc.equal(texts[1:], texts[:-1]))
+        new[1:] = ~pc.fill_null(same, False).to_numpy(zero_copy_only=False)
+    return f(texts.take(pa.array(np.flatnonzero(new)))), np.cumsum(new) - 1
+
+
 class Words:
     """The words of a column: data (bytes), start and end of each word, first[i] the index of text i's first word, hash of each word."""
 
