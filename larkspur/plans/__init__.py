@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import configure, read, register
+from ..session import configure, named, read, register
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +22,7 @@ class Registry:
         """A query in Spark SQL over the registered tables; the oracle is the same text unless given."""
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            register(configure(spark), sf_dir)
+            register(configure(spark), sf_dir, named(text))
             return spark.sql(text)
 
         run.__name__ = name

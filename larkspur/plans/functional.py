@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import dml, select
 from ..operators.constraints import Constraints
-from ..session import register
+from ..session import named, register
 from ..sources import sequences, tables
 from ..sql import Engine
 from ..streaming import windowed_counts
@@ -20,7 +23,7 @@ def pg(name: str, text: str, oracle: str) -> None:
     """A query in the front end's dialect."""
 
     def run(spark, sf_dir):
-        register(spark, sf_dir)
+        register(spark, sf_dir, named(text))
         return Engine(spark).execute(text)
 
     run.__name__ = name
@@ -160,9 +163,10 @@ def df_natural_join(t, spark):
     return select.natural_join(t("documents"), t("labels"))
 
 
-@R.frame("SELECT c_custkey, NULLIF(c_nationkey, 3) AS k FROM customer ORDER BY k DESC NULLS LAST, c_custkey LIMIT 1400")
+@R.frame("SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY NULLIF(c_nationkey, 3) DESC NULLS LAST, c_custkey) AS place FROM customer")
 def df_sort_nulls_last(t, spark):
-    return select.sort(t("customer").select("c_custkey", F.nullif(F.col("c_nationkey"), F.lit(3)).alias("k")), ("k", True), "c_custkey").limit(1400)
+    keys = Window.partitionBy("c_mktsegment").orderBy(select.ordering(F.nullif(F.col("c_nationkey"), F.lit(3)), True), select.ordering("c_custkey"))
+    return t("customer").select("c_custkey", F.row_number().over(keys).cast("long").alias("place"))
 
 
 @R.frame("SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS top FROM orders")
@@ -279,20 +283,21 @@ def stream_windowed_counts(t, spark):
 pg("pg_operators", "SELECT event_id, props->>'k' AS k, (props->>'k')::INT8 + 1 AS k1, strpos(props, 'k') AS at, to_hex(user_id) AS h FROM events WHERE event_type ILIKE 'CL%'", "SELECT event_id, props->>'$.k' AS k, (props->>'$.k')::BIGINT + 1 AS k1, strpos(props, 'k')::BIGINT AS at, lower(to_hex(user_id)) AS h FROM events WHERE event_type ILIKE 'CL%'")
 pg("pg_generate_series", "SELECT generate_series * 2 AS twice FROM generate_series(3, 30, 3)", "SELECT generate_series * 2 AS twice FROM generate_series(3, 30, 3)")
 pg("pg_distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderdate DESC, o_orderkey", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderdate DESC, o_orderkey")
-pg("pg_fetch_and_nulls", "SELECT c_custkey, NULLIF(c_nationkey, 0) AS k FROM customer ORDER BY NULLIF(c_nationkey, 0), c_custkey FETCH FIRST 1480 ROWS ONLY", "SELECT c_custkey, NULLIF(c_nationkey, 0) AS k FROM customer ORDER BY NULLIF(c_nationkey, 0) NULLS LAST, c_custkey FETCH FIRST 1480 ROWS ONLY")
+pg("pg_fetch_and_nulls", "SELECT c_custkey, k, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY k, c_custkey) AS BIGINT) AS place FROM (SELECT *, NULLIF(c_nationkey, 0) AS k FROM customer) c", "SELECT c_custkey, k, row_number() OVER (PARTITION BY c_mktsegment ORDER BY k NULLS LAST, c_custkey) AS place FROM (SELECT *, NULLIF(c_nationkey, 0) AS k FROM customer) c")
+pg("pg_fetch_first", "SELECT c_custkey, NULLIF(c_nationkey, 0) AS k FROM customer ORDER BY NULLIF(c_nationkey, 0) DESC, c_custkey FETCH FIRST 12 ROWS ONLY", "SELECT c_custkey, NULLIF(c_nationkey, 0) AS k FROM customer ORDER BY NULLIF(c_nationkey, 0) DESC NULLS LAST, c_custkey FETCH FIRST 12 ROWS ONLY")
 pg("pg_extract", "SELECT o_orderkey, EXTRACT(dow FROM o_orderdate) AS d, date_part('decade', o_orderdate) AS dec, date_trunc('century', o_orderdate) AS cen, date_trunc('month', o_orderdate) AS mon FROM orders", "SELECT o_orderkey, date_part('dow', o_orderdate)::DOUBLE AS d, date_part('decade', o_orderdate)::DOUBLE AS dec, make_timestamp((year(o_orderdate) - 1) // 100 * 100 + 1, 1, 1, 0, 0, 0) AS cen, date_trunc('month', o_orderdate)::TIMESTAMP AS mon FROM orders")
 pg("pg_functions", "SELECT c_custkey, left(c_name, -1) AS l, right(c_name, 2) AS r, ltrim(c_name, 'Cc') AS lt, concat(c_name, NULL, 'x') AS c, log(c_custkey + 1) > 2 AS big, (ARRAY[c_nationkey, 7])[2] AS seven, iff(c_acctbal > 0, 'plus', 'minus') AS s FROM customer", "SELECT c_custkey, left(c_name, -1) AS l, right(c_name, 2) AS r, ltrim(c_name, 'Cc') AS lt, concat(c_name, NULL, 'x') AS c, log10(c_custkey + 1) > 2 AS big, ([c_nationkey, 7])[2] AS seven, CASE WHEN c_acctbal > 0 THEN 'plus' ELSE 'minus' END AS s FROM customer")
 
 
 def pg_sql_function(spark, sf_dir):
-    register(spark, sf_dir)
+    register(spark, sf_dir, ["lineitem"])
     engine = Engine(spark)
     engine.execute("CREATE OR REPLACE FUNCTION with_tax(price FLOAT8, tax FLOAT8) RETURNS FLOAT8 LANGUAGE sql AS $$ SELECT $1 * (1 + $2) $$")
     return engine.execute("SELECT l_orderkey, l_linenumber, l_partkey, with_tax(l_extendedprice, l_tax) AS price FROM lineitem")
 
 
 def pg_prepared(spark, sf_dir):
-    register(spark, sf_dir)
+    register(spark, sf_dir, ["supplier"])
     engine = Engine(spark)
     engine.execute("PREPARE q AS SELECT s_suppkey, s_acctbal FROM supplier WHERE s_nationkey = $1 OR s_acctbal > $2")
     return engine.execute("EXECUTE q(3, 9000)")
@@ -303,3 +308,91 @@ R.oracles |= {
     "pg_sql_function": "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 + l_tax) AS price FROM lineitem",
     "pg_prepared": "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_nationkey = 3 OR s_acctbal > 9000",
 }
+
+
+def script(name: str, statements: list[str], oracle: str) -> None:
+    """Statements on tables of their own: {a}, {b} and {c} stand for names that no other run has, {path} for a folder.  The last one gives the result."""
+
+    def run(spark, sf_dir):
+        engine = Engine(spark)
+        register(spark, sf_dir, named(" ".join(statements)))
+        mark = uuid.uuid4().hex[:8]
+        dml.cut(spark.range(1))  # so that there is a checkpoint folder
+        names = {k: f"{k}_{mark}" for k in "abc"} | {"path": f"{spark.sparkContext.getCheckpointDir()}/copied-{mark}"}
+        for text in statements[:-1]:
+            engine.execute(text.format(**names))
+        out = dml.cut(engine.execute(statements[-1].format(**names)))
+        for k in "cba":
+            spark.sql(f"DROP TABLE IF EXISTS {names[k]}")
+        spark.sql(f"DROP TABLE IF EXISTS sequence_{names['a']}")
+        return out
+
+    run.__name__ = name
+    R.queries[name] = run
+    R.oracles[name] = oracle
+
+
+_OWN = "CREATE TABLE {a} (k INT PRIMARY KEY, name TEXT NOT NULL, region INT, n INT DEFAULT 1)"
+_FILL = "INSERT INTO {a} (k, name, region) SELECT n_nationkey, n_name, n_regionkey FROM nation"
+script(
+    "pg_create_and_insert",
+    ["CREATE TABLE {a} (id SERIAL PRIMARY KEY, name VARCHAR(25) NOT NULL, region INT DEFAULT 7 CHECK (region >= 0), UNIQUE (name))", "INSERT INTO {a} (name, region) SELECT n_name, n_regionkey FROM nation", "INSERT INTO {a} (name) VALUES ('late'), ('later')", "SELECT id, name, region FROM {a}"],
+    "SELECT row_number() OVER (ORDER BY n_name)::INT AS id, n_name AS name, n_regionkey::INT AS region FROM nation UNION ALL SELECT * FROM (VALUES (26, 'late', 7), (27, 'later', 7)) v",
+)
+script(
+    "pg_on_conflict",
+    [_OWN, _FILL, "INSERT INTO {a} VALUES (3, 'three', 0, 5), (99, 'new', 1, 1) ON CONFLICT (k) DO UPDATE SET n = {a}.n + EXCLUDED.n, name = EXCLUDED.name", "INSERT INTO {a} VALUES (4, 'ignored', 0, 9), (98, 'kept', 2, DEFAULT) ON CONFLICT DO NOTHING", "SELECT k, name, n FROM {a}"],
+    "SELECT n_nationkey::INT AS k, CASE WHEN n_nationkey = 3 THEN 'three' ELSE n_name END AS name, CASE WHEN n_nationkey = 3 THEN 6 ELSE 1 END AS n FROM nation UNION ALL SELECT * FROM (VALUES (99, 'new', 1), (98, 'kept', 1)) v",
+)
+script("pg_insert_returning", [_OWN, "INSERT INTO {a} (k, name) SELECT r_regionkey, r_name FROM region RETURNING k, lower(name) AS name, n"], "SELECT r_regionkey::INT AS k, lower(r_name) AS name, 1 AS n FROM region")
+script(
+    "pg_update_from",
+    [_OWN, _FILL, "UPDATE {a} AS x SET name = r.r_name || x.name, n = x.n + x.k FROM region r WHERE x.region = r.r_regionkey AND r.r_name LIKE 'A%'", "SELECT k, name, n FROM {a}"],
+    "SELECT n_nationkey::INT AS k, CASE WHEN r_name LIKE 'A%' THEN r_name || n_name ELSE n_name END AS name, CASE WHEN r_name LIKE 'A%' THEN 1 + n_nationkey ELSE 1 END::INT AS n FROM nation JOIN region ON n_regionkey = r_regionkey",
+)
+script("pg_delete_using", [_OWN, _FILL, "DELETE FROM {a} USING region r WHERE {a}.region = r.r_regionkey AND r.r_name LIKE 'A%' RETURNING k, name"], "SELECT n_nationkey::INT AS k, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%'")
+script(
+    "pg_update_subquery",
+    [_OWN, _FILL, "UPDATE {a} SET n = (SELECT max(s_nationkey) FROM supplier WHERE s_suppkey > 3) + k WHERE region IN (SELECT r_regionkey FROM region WHERE r_regionkey < 2)", "SELECT k, n FROM {a}"],
+    "SELECT n_nationkey::INT AS k, CASE WHEN n_regionkey < 2 THEN (SELECT max(s_nationkey) FROM supplier WHERE s_suppkey > 3) + n_nationkey ELSE 1 END::INT AS n FROM nation",
+)
+script(
+    "pg_copy",
+    ["COPY (SELECT n_nationkey, n_name, NULLIF(n_regionkey, 2) FROM nation) TO '{path}' WITH (FORMAT csv, HEADER, DELIMITER '|')", _OWN, "COPY {a} (k, name, region) FROM '{path}' WITH (FORMAT csv, HEADER, DELIMITER '|')", "SELECT k, name, region, n FROM {a}"],
+    "SELECT n_nationkey::INT AS k, n_name AS name, NULLIF(n_regionkey, 2)::INT AS region, 1 AS n FROM nation",
+)
+script("pg_sequences", ["CREATE SEQUENCE {a} START WITH 10 INCREMENT BY 5", "SELECT nextval('{a}')", "SELECT setval('{a}', 100)", "SELECT nextval('{a}') AS x, nextval('{a}') AS y, currval('{a}') AS z"], "SELECT 105::BIGINT AS x, 110::BIGINT AS y, 110::BIGINT AS z")
+script(
+    "pg_alter_table",
+    [_OWN, _FILL, "ALTER TABLE {a} ADD COLUMN note TEXT DEFAULT 'none'", "ALTER TABLE {a} DROP COLUMN region", "ALTER TABLE {a} RENAME COLUMN name TO title", "ALTER TABLE {a} ALTER COLUMN n TYPE BIGINT", "ALTER TABLE {a} ADD CONSTRAINT small CHECK (k < 1000)", "INSERT INTO {a} (k, title) VALUES (500, 'more')", "SELECT * FROM {a}"],
+    "SELECT n_nationkey::INT AS k, n_name AS title, 1::BIGINT AS n, 'none' AS note FROM nation UNION ALL SELECT 500, 'more', 1, 'none'",
+)
+script(
+    "pg_foreign_keys",
+    ["CREATE TABLE {a} (id INT PRIMARY KEY)", "INSERT INTO {a} SELECT r_regionkey FROM region", "CREATE TABLE {b} (k INT, region INT REFERENCES {a} (id) ON DELETE CASCADE ON UPDATE CASCADE)", "CREATE TABLE {c} (k INT, region INT DEFAULT 4, FOREIGN KEY (region) REFERENCES {a} (id) ON DELETE SET DEFAULT ON UPDATE SET NULL)",
+     "INSERT INTO {b} SELECT n_nationkey, n_regionkey FROM nation", "INSERT INTO {c} SELECT n_nationkey, n_regionkey FROM nation", "DELETE FROM {a} WHERE id = 1", "UPDATE {a} SET id = 20 WHERE id = 2", "SELECT 'b' AS t, k, region FROM {b} UNION ALL SELECT 'c', k, region FROM {c}"],
+    "SELECT 'b' AS t, n_nationkey::INT AS k, CASE n_regionkey WHEN 2 THEN 20 ELSE n_regionkey END::INT AS region FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'c', n_nationkey::INT, CASE n_regionkey WHEN 1 THEN 4 WHEN 2 THEN NULL ELSE n_regionkey END::INT FROM nation",
+)
+script(
+    "pg_constraint_views",
+    ["CREATE TABLE {a} (x INT, y INT, PRIMARY KEY (x, y), UNIQUE (y))", "CREATE TABLE {b} (u INT REFERENCES {a} (y) ON DELETE CASCADE, w INT CONSTRAINT positive CHECK (w > 0))",
+     "SELECT c.constraint_type AS kind, replace(c.constraint_name, '{b}', 'b') = c.constraint_name AS of_a, k.column_name AS col, k.ordinal_position AS place FROM information_schema.table_constraints c LEFT JOIN information_schema.key_column_usage k ON c.constraint_name = k.constraint_name WHERE c.table_name IN ('{a}', '{b}')"],
+    "SELECT * FROM (VALUES ('PRIMARY KEY', true, 'x', 1), ('PRIMARY KEY', true, 'y', 2), ('UNIQUE', true, 'y', 1), ('FOREIGN KEY', false, 'u', 1), ('CHECK', false, NULL, NULL)) v(kind, of_a, col, place)",
+)
+script(
+    "pg_catalog_views",
+    [_OWN, "SELECT a.attname AS col, t.typname AS kind, a.attnum AS place FROM pg_catalog.pg_class c JOIN pg_catalog.pg_attribute a ON a.attrelid = c.oid JOIN pg_catalog.pg_type t ON a.atttypid = t.oid JOIN pg_catalog.pg_tables s ON s.tablename = c.relname WHERE c.relname = '{a}'"],
+    "SELECT * FROM (VALUES ('k', 'integer', 1), ('name', 'text', 2), ('region', 'integer', 3), ('n', 'integer', 4)) v(col, kind, place)",
+)
+pg("pg_recursive_union", "WITH RECURSIVE r(a, b) AS (SELECT n_nationkey, (n_nationkey * 3 + 1) % 25 FROM nation WHERE n_nationkey < 5 UNION SELECT r.b, (r.b * 3 + 1) % 25 FROM r) SELECT a, b FROM r WHERE a <> 7", "WITH RECURSIVE r(a, b) AS (SELECT n_nationkey, (n_nationkey * 3 + 1) % 25 FROM nation WHERE n_nationkey < 5 UNION SELECT r.b, (r.b * 3 + 1) % 25 FROM r) SELECT a, b FROM r WHERE a <> 7")
+pg("pg_union_by_name", "SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL BY NAME SELECT r_name AS name, r_regionkey AS id FROM region", "SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL BY NAME SELECT r_name AS name, r_regionkey AS id FROM region")
+pg(
+    "pg_more_functions",
+    "SELECT c_custkey, substring(c_name, -1, 4) AS s, split_part(c_name, '#', 0) AS none, trim(' \t' || c_name || '\t ') AS t, encode(c_name, 'hex') AS h, bool('t') AS b, text(c_custkey) AS x, int8(c_nationkey) AS i, to_number('12.5') AS n, array_lower(ARRAY[c_custkey], 1) AS lo, json_extract_path_text('{\"a\": {\"b\": 3}}', 'a', 'b') AS j FROM customer",
+    "SELECT c_custkey, left(c_name, 4) AS s, '' AS none, c_name AS t, lower(hex(c_name)) AS h, true AS b, c_custkey::VARCHAR AS x, c_nationkey::BIGINT AS i, 12.5::DOUBLE AS n, 1 AS lo, '3' AS j FROM customer",
+)
+pg(
+    "pg_dates",
+    "SELECT o_orderkey, to_date('2024-02-29') AS d, to_timestamp('2024-02-29 10:11:12')::TIMESTAMP AS ts, date_part('millennium', o_orderdate) AS mil, EXTRACT(microseconds FROM TIMESTAMP_NTZ '2024-02-29 10:11:12.5') AS us FROM orders",
+    "SELECT o_orderkey, DATE '2024-02-29' AS d, TIMESTAMP '2024-02-29 10:11:12' AS ts, floor((year(o_orderdate) - 1) / 1000) + 1 AS mil, 12500000::DOUBLE AS us FROM orders",
+)

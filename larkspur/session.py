@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(text: str) -> list[str]:
+    """The tables that a statement names."""
+    words = set(re.findall(r"[a-z]+", text.lower()))
+    return [t for t in TABLES if t in words]
+
+
 def register(spark: SparkSession, sf_dir: str, names: Iterable[str] = TABLES) -> None:
     """A temporary view for each table; nothing is read before a query needs it."""
     for name in names:

@@ -9,7 +9,7 @@ from larkspur.operators import dml, select
 from larkspur.operators.constraints import Constraints, ConstraintViolation
 from larkspur.session import configure
 from larkspur.sources import catalog, files, sequences, tables
-from larkspur.sql import Engine, translate
+from larkspur.sql import Engine, NotSupported, translate
 from larkspur.streaming import windowed_counts
 
 
@@ -98,8 +98,8 @@ def test_math_and_times(spark):
     assert [one(spark, fn.trunc(F.lit(x), 1)) for x in (2.78, -2.78, 0.0)] == [2.7, -2.7, 0.0]
     assert one(spark, fn.mod(F.lit(-7), 3)) == -1 and one(spark, fn.int_div(F.lit(-7), 2)) == -3 and one(spark, fn.floor_div(F.lit(-7), 2)) == -4
     assert one(spark, fn.log(F.lit(1000.0))) == pytest.approx(3) and one(spark, fn.log(2, F.lit(8.0))) == pytest.approx(3)
-    day = F.lit("1957-04-09 13:14:15.5").cast("timestamp_ntz")
-    parts = {"dow": 2, "isodow": 2, "week": 15, "decade": 195, "century": 20, "second": 15.5, "milliseconds": 15500, "epoch": -401712344.5, "doy": 99}
+    day = F.lit("1931-08-05 13:14:15.5").cast("timestamp_ntz")
+    parts = {"dow": 3, "isodow": 3, "week": 32, "decade": 193, "century": 20, "second": 15.5, "milliseconds": 15500, "epoch": -1212057944.5, "doy": 217}
     assert {k: one(spark, fn.date_part(k, day)) for k in parts} == parts
     assert str(one(spark, fn.date_trunc("century", day))) == "1901-01-01 00:00:00" and one(spark, fn.date_trunc("nonsense", day)) == one(spark, day)
     assert one(spark, fn.age_days(F.lit("2024-03-01 00:00:00"), F.lit("2024-02-28 12:00:00"))) == 1
@@ -185,6 +185,47 @@ def test_engine_tables(spark, t):
     spark.sql("DROP TABLE own_t")
 
 
+def test_declared_constraints(spark):
+    e = Engine(spark)
+    for name in ("own_child", "own_parent"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    e.execute("CREATE TABLE own_parent (id INT PRIMARY KEY, x DOUBLE PRECISION DEFAULT (1 + 1), CONSTRAINT low CHECK (x < 100))")
+    e.execute("CREATE TABLE IF NOT EXISTS own_parent (id INT)")
+    e.execute("CREATE TABLE own_child (k BIGSERIAL, pid INT REFERENCES own_parent ON DELETE RESTRICT, note TEXT UNIQUE)")
+    e.execute("INSERT INTO own_parent (id) VALUES (1), (2)")
+    e.execute("INSERT INTO own_child (pid, note) VALUES (1, 'a'), (NULL, NULL), (NULL, NULL)")
+    assert values(e.execute("SELECT id, x FROM own_parent")) == [(1, 2.0), (2, 2.0)] and e.execute("SELECT * FROM own_child").count() == 3
+    for text, state in (
+        ("INSERT INTO own_parent (id) VALUES (2)", "23505"), ("INSERT INTO own_parent (id) VALUES (NULL)", "23502"), ("INSERT INTO own_parent VALUES (5, 100)", "23514"), ("INSERT INTO own_child (pid) VALUES (9)", "23503"),
+        ("UPDATE own_parent SET x = 100 WHERE id = 1", "23514"), ("DELETE FROM own_parent WHERE id = 1", "23503"), ("UPDATE own_parent SET id = 1", "23505"), ("INSERT INTO own_child (note) VALUES ('a')", "23505"),
+        ("ALTER TABLE own_parent ADD CHECK (id > 1)", "23514"),
+    ):
+        with pytest.raises(ConstraintViolation) as err:
+            e.execute(text)
+        assert err.value.getSqlState() == state
+    e.execute("DELETE FROM own_parent AS p WHERE p.id = 2")
+    e.execute("ALTER TABLE own_parent DROP CONSTRAINT low")
+    e.execute("UPDATE own_parent SET x = DEFAULT WHERE id = 1")
+    e.execute("UPDATE own_parent SET x = 100 + (SELECT count(*) FROM own_child WHERE k > 0)")
+    assert values(e.execute("SELECT * FROM own_parent")) == [(1, 103.0)]
+    assert [r.k for r in e.execute("SELECT k FROM own_child ORDER BY k").collect()] == [1, 2, 3]
+    for name in ("own_child", "own_parent"):
+        e.execute(f"DROP TABLE {name}")
+
+
+def test_statements_without_a_counterpart(spark):
+    e = Engine(spark)
+    assert e.execute("BEGIN").first()[0] == "BEGIN" and e.execute("SHOW timezone").first()[0] == "UTC"
+    for text in ("ROLLBACK", "SAVEPOINT a", "ROLLBACK TO a"):
+        with pytest.raises(NotSupported):
+            e.execute(text)
+    spark.sql("DROP TABLE IF EXISTS own_s")
+    e.execute("CREATE TABLE own_s AS SELECT generate_series AS n FROM generate_series(1, 9)")
+    assert e.execute("ANALYZE own_s").first()[0] == "ANALYZE" and e.execute("EXPLAIN ANALYZE SELECT n FROM own_s").count() > 1
+    assert values(e.execute("SELECT 'information_schema.tables' AS t")) == [("information_schema.tables",)]
+    e.execute("DROP TABLE own_s")
+
+
 def test_translate_leaves_text_alone():
     assert translate("SELECT 'strpos(a, b) -> ::TEXT ORDER BY x' AS s") == "SELECT 'strpos(a, b) -> ::TEXT ORDER BY x' AS s"
     assert translate('SELECT "Odd Name" FROM t ORDER BY a, b DESC NULLS FIRST LIMIT 2') == "SELECT `Odd Name` FROM t ORDER BY a NULLS LAST, b DESC NULLS FIRST LIMIT 2"
