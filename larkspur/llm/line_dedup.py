@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import WHITE, ascii_lower
 
@@ -15,7 +11,6 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 #: Parts into which the rows of one line are dealt for the join with the frequent lines.
 SALTS = 32
-_WHITE = WHITE.encode()
 
 
 def line_key(line: Column) -> Column:
@@ -27,20 +22,6 @@ def _digest(key: Column) -> Column:
     return F.unhex(F.md5(key.cast("binary")))
 
 
-@F.pandas_udf(T.StructType().add("text", T.StringType()).add("n_dropped", T.LongType()))
-def _without(text: pd.Series, drop: pd.Series) -> pd.DataFrame:
-    """Texts without the lines whose digests are in drop; a set, as an SQL array would be searched line by line."""
-    out = []
-    for t, d in zip(text, drop):
-        if t is None or d is None:
-            out.append((None, None))
-            continue
-        gone, lines = {bytes(x) for x in d}, t.encode().split(b"\n")
-        left = [x for x in lines if hashlib.md5(x.strip(_WHITE).lower(), usedforsecurity=False).digest() not in gone]  # bytes.lower: A-Z only
-        out.append((b"\n".join(left).decode(), len(lines) - len(left)))
-    return pd.DataFrame(out, columns=["text", "n_dropped"])
-
-
 def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(occurrences, frequent): distinct (key, doc_id), and keys in at least min_docs documents with their largest doc_id.
 
@@ -64,30 +45,35 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     A text is split at "\\n".  Keys (line_key) of min_chars code points or more that
     occur in min_docs documents or more lose all their lines, except in the largest
-    doc_id holding them.  The other lines keep their order.
+    doc_id holding them.  The positions of these lines are found by a hash join; the other lines are put together in order of position.
 
     Defined cases: a null or empty text is one empty line and stays as it is (null stays
-    null); rows that share a doc_id count as one document, and each is cut by its own
+    null); very long texts are split whole, a text and its lines being one row; rows that share a doc_id count as one document, and each is cut by its own
     lines; rows whose doc_id is null are never counted and lose nothing; input columns
     called n_lines or n_dropped are replaced; an empty table gives an empty table.
     """
     docs = docs.drop("n_lines", "n_dropped")
+    columns = docs.columns
     found, frequent = frequent_lines(docs, min_chars, min_docs)
     salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    drops = (
-        found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    mark = F.xxhash64("text").alias("__mark")  # tells rows of a document apart
+    usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    placed = usable.select("doc_id", mark, F.posexplode(F.transform(F.split("text", "\n", -1), line_key)).alias("pos", "key")).where(F.length("key") >= min_chars)
+    gone = (
+        placed.select("doc_id", "__mark", "pos", _digest(F.col("key")).alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
         .join(salted, ["key", "salt"])
         .where(F.col("doc_id") != F.col("keeper"))
-        .groupBy(F.col("doc_id").alias("__doc"))
-        .agg(F.collect_set("key").alias("__drop"))
+        .groupBy(F.col("doc_id").alias("__doc"), F.col("__mark").alias("__own"))
+        .agg(F.collect_set("pos").alias("__gone"))
     )
-    joined = docs.join(drops, docs["doc_id"] == drops["__doc"], "left").drop("__doc")
-    cutting = F.col("__drop").isNotNull()
-    n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(1)).otherwise(F.size(F.split("text", "\n", -1)))
-    return (
-        joined.withColumn("n_lines", n_lines.cast("long"))
-        .withColumn("__cut", _without(F.when(cutting, F.col("text")), F.col("__drop")))
-        .withColumn("n_dropped", F.when(cutting, F.col("__cut.n_dropped")).otherwise(F.lit(0)).cast("long"))
-        .withColumn("text", F.when(cutting, F.col("__cut.text")).otherwise(F.col("text")))
-        .drop("__drop", "__cut")
+    # Equal rows have equal marks, so each row meets its positions once.
+    lined = docs.select(*[c for c in columns if c != "text"], mark, F.split("text", "\n", -1).alias("__lines"))
+    joined = lined.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.col("__mark") == F.col("__own")), "left")
+    n = F.size("__lines")
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("__gone", F.array().cast("array<int>")))
+    kept = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.transform(stay, lambda i: F.get("__lines", i)))
+    return joined.select(
+        *[F.when(F.col("__lines").isNotNull(), F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in columns],
+        F.when(F.col("__lines").isNull(), F.lit(1)).otherwise(n).cast("long").alias("n_lines"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -7,12 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, unit_hash
+from .common import cut, n_words, partitions, unit_hash
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: Slices of virtual time in which the end of the budget is sought; the slice found is sliced once more.
-SLICES = 4096
 #: A table of so many sources is broadcast; beyond, rows and sources are joined by a salted shuffle.
 FEW_SOURCES = 20_000
 SALTS = 32
@@ -60,20 +58,22 @@ def _with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return salted.join(t, same & (F.col("salt") == F.col("t_salt"))).drop("t_source", "t_salt", "salt")
 
 
-def _cutoff(turns: DataFrame, budget: float, low: float, high: float) -> tuple[float, float, float] | None:
-    """(start, end, words before start) of the slice of virtual time in [low, high) in which the budget ends; None if it doesn't."""
-    width = (high - low) / SLICES
-    slices = (
-        turns.where((F.col("finish") >= low) & (F.col("finish") < high))
-        .groupBy(F.floor((F.col("finish") - low) / width).alias("slice"))
-        .agg(F.sum("size").alias("words"))
-    )
-    so_far = F.sum("words").over(Window.orderBy("slice"))  # over at most SLICES rows
-    row = slices.withColumn("until", so_far).where(F.col("until") > budget).orderBy("slice").limit(1).first()
-    if row is None:
-        return None
-    start = low + row["slice"] * width
-    return start, start + width, float(row["until"] - row["words"])
+def _truncated(turns: DataFrame, budget: float) -> DataFrame:
+    """The turns (row, size, finish, turn) that the budget lasts for, in order of finish time.
+
+    They are sorted by ranges of the whole order.  Sums of the parts, as many as there are partitions, show which parts
+    are in as a whole and which one the budget ends in; only that one is summed up row by row.
+    """
+    order = ["finish", "row", "turn"]
+    ranged = cut(turns.repartitionByRange(partitions(turns.sparkSession), *order).withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("part").agg(F.sum("size").alias("words"), F.min("finish").alias("first"))
+    before = Window.orderBy("first", "part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    met = ranged.join(F.broadcast(sums.where(F.col("before") <= budget)), "part")
+    whole = F.col("before") + F.col("words") <= budget
+    so_far = F.sum("size").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    edge = met.where(~whole).withColumn("so_far", F.col("before") + so_far).where(F.col("so_far") <= budget)
+    return met.where(whole).select(*order).unionByName(edge.select(*order))
 
 
 def mix(
@@ -88,8 +88,8 @@ def mix(
     Each source's documents are shuffled by a hash and stand in line up to max_repeats times.
     A document's virtual finish time is its source's running size divided by the source's
     target, so time 1 is where a source has its target.  All lines are merged in order of
-    finish time and cut where the sum of all sizes (the budget) is spent.  Documents are
-    taken whole.
+    finish time, sorted by ranges, and cut where the sum of all sizes (the budget) is spent.  Documents are
+    taken whole; the first that goes beyond the budget and all after it aren't taken.
 
     Beyond time 1 only the document at which a source passes its target stands in line, so no
     source is further from its target than by one document, be others ever so long.
@@ -98,7 +98,8 @@ def mix(
     as the square root of its rows, and over the buckets; no task holds a source.
 
     Defined cases: a null text has size 0; documents of size 0 and sources of size 0 are taken
-    0 words; equal rows stand at their own places in the line; other columns are not returned.
+    0 words; very long texts count with all their words; equal rows stand at their own places in the line; other columns are not returned;
+    an empty table gives an empty table.
     """
     spark = docs.sparkSession
     size = n_words(F.col("text")) if size is None else size
@@ -121,28 +122,17 @@ def mix(
         line.withColumn("inside", inside)
         .join(starts, ["src", "bucket"])
         .withColumn("upto", F.col("start") + F.col("inside"))
-        .select("doc_id", "source", "size", "source_size", "target", "upto", "tie")
+        .select("doc_id", "source", "size", "source_size", "target", "upto", "tie", F.monotonically_increasing_id().alias("row"))
     )
     goal = F.nullif(F.col("target"), F.lit(0.0))
     turns = (
         line.where(F.col("size") > 0)
         .withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-        .select("size", ((F.col("turn") * F.col("source_size") + F.col("upto")) / goal).alias("finish"), (F.col("size") / goal).alias("lasts"))
-        .where(F.col("finish") - F.col("lasts") < 1.0)
+        .select("row", "size", "turn", ((F.col("turn") * F.col("source_size") + F.col("upto")) / goal).alias("finish"), (F.col("size") / goal).alias("lasts"))
+        .where(F.col("finish") - F.col("lasts") < 1.0 - 1e-12)
     )
-    total = targets.agg(F.max("budget")).first()[0] or 0.0
-    finish = [(F.lit(k) * F.col("source_size") + F.col("upto")) / goal for k in range(max_repeats)]
-    # All that finishes by time 1 fits: each source has at most its target there.  The cut lies beyond.
-    done = float(turns.where(F.col("finish") <= 1.0).agg(F.sum("size")).first()[0] or 0.0)
-    low, high, spent = 1.0 + 1e-12, float(turns.agg(F.max("finish")).first()[0] or 1.0) + 1e-6, done
-    end = high
-    for _ in range(3):
-        found = _cutoff(turns, total - spent, low, high)
-        if found is None:
-            break
-        low, high, before = found
-        spent += before
-        end = low
-    times = sum([F.when((f <= 1.0) | ((f < end) & (f - F.col("size") / goal < 1.0)), 1).otherwise(0) for f in finish], F.lit(0))
-    taken = F.when(F.col("size") > 0, times).otherwise(F.lit(0)).cast("int")
-    return line.select("doc_id", "source", "size", "source_size", "target", taken.alias("n_taken"), (taken * F.col("size")).cast("long").alias("taken"), "tie")
+    budget = targets.agg(F.max("budget")).first()[0] or 0.0
+    taken = _truncated(turns, budget).groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("n_taken"))
+    times = F.coalesce("n_taken", F.lit(0))
+    out = line.join(taken, "row", "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", times.alias("n_taken"), (times * F.col("size")).cast("long").alias("taken"), "tie")

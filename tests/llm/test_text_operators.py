@@ -376,6 +376,38 @@ def test_line_dedup(docs):
     assert set(df.columns) | {"n_dropped"} == set(dedup_lines(df).columns)
 
 
+def test_mixing_takes_what_a_global_sort_takes(spark):
+    """The rows taken, against one sorted list of all turns."""
+    from larkspur.llm.common import unit_hash
+    from pyspark.sql import functions as F
+
+    rng = random.Random(31)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 9, 40])), rng.choice("aaaabbc") if i % 9 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = {r.doc_id: r for r in mix(df).collect()}
+    place = {r.doc_id: r.p for r in df.select("doc_id", unit_hash(F.lit(17), F.col("doc_id"), F.xxhash64("text")).alias("p")).collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    turns = []
+    for source in ["a", "b", "c", None]:
+        line = sorted((i for i, _, s in rows if s == source), key=lambda i: place[i])
+        target, so_far = out[line[0]].target, 0
+        for turn in range(3):
+            for i in line:
+                so_far += size[i]
+                if size[i] and (so_far - size[i]) / target < 1 - 1e-12:
+                    turns.append((so_far / target, i, turn))
+    left, want = sum(size.values()), Counter()
+    for _, i, _ in sorted(turns):
+        left -= size[i]
+        if left < 0:
+            break
+        want[i] += size[i]
+    got = Counter({i: r.taken for i, r in out.items() if r.taken})
+    differ = [i for i in out if got[i] != want[i]]
+    assert len(differ) <= 1, differ  # equal finish times of two sources at the cut may change places
+    assert abs(sum(got.values()) - sum(size.values())) <= 80
+
+
 def test_mixing(spark, docs):
     df, rows = docs
     out = mix(df).collect()
