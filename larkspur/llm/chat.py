@@ -120,6 +120,10 @@ def format_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict])
 
     Order rows of a conversation by (depth, call_id) to write them: every call stands after the call it waits for; calls in a
     cycle have a null depth.  Rows with null identifiers stay, without result and depth.  Other columns of calls are kept.
+
+    Defined cases: null arguments are invalid and an empty result is a result; very long texts are written whole; several results of a call tie to
+    the least; repeated calls are rows each; columns of calls called result, status, depth, valid, errors or json are replaced; empty tables give
+    an empty table.
     """
     linked = link(calls.drop("result", "status", "depth"), results)
     deep = depths(calls)
@@ -150,4 +154,10 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def format_conversations(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    """A row for each user turn as a call, as `format_calls` gives them.
+
+    Defined cases: turns whose conv_id or turn is null take no part; a user turn whose text is null or empty is an invalid call, an assistant's
+    null text an empty result; very long texts are written whole; several system turns tie to the first; repeated
+    user turns are calls each; other columns of turns are not used; an empty table gives an empty table.
+    """
     return format_calls(*conversation_calls(turns.select("conv_id", "turn", "role", "text")), {"reply": TURN_SCHEMA})

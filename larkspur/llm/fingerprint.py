@@ -109,7 +109,8 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     Texts are shuffled once, by ranges of doc_id; the first document of a range is also sent to the range above,
     whose last document it follows.  All that comes after stays in these partitions.
 
-    Defined cases: a null text is empty; two texts without words are alike (1), and unlike any with words (0);
+    Defined cases: a null text is empty; very long texts are sampled whole, their words being rows; equal rows (same doc_id and text) follow each other in
+    any order, which changes no result; two texts without words are alike (1), and unlike any with words (0);
     rows with the same doc_id are ordered by text; null doc_ids come last; other columns are not returned;
     an empty table gives an empty table.
     """

@@ -489,7 +489,8 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, share: tuple[int, int] =
     linked if share[1] * |intersection| >= share[0] * |union|; component_id is the smallest doc_id that
     links reach.  All links count: no list, group or partner is capped.
 
-    Defined cases: a text that is null or has no words has an empty set, and its own doc_id as component;
+    Defined cases: a text that is null or has no words has an empty set, and its own doc_id as component; very long texts are read whole,
+    each in a slice of its own; sets of equal size and overlap tie in nothing, as every link counts;
     rows that share a doc_id are one document, reached through any of its texts; a null doc_id gets the
     component of its text's equals, or null; other columns are not returned; an empty table gives an empty table.
     """

@@ -347,7 +347,7 @@ def score(docs: DataFrame) -> DataFrame:
     texts that held_out_column leaves.  An unknown word is one class of the vocabulary.  score is log10 of the
     text's probability, base_score that of add-0.5 word frequencies.
 
-    Defined cases: a null or empty text is one end token; a null doc_id counts as the id "" for the split;
+    Defined cases: a null or empty text is one end token; a very long text is a block by itself; a null doc_id counts as the id "" for the split; ties don't arise;
     repeated rows are learnt and scored each; with nothing to learn from, every token is unknown;
     other columns are not returned; an empty table gives an empty table.
     """

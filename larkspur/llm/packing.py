@@ -170,7 +170,8 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end
     which are replaced.  Pieces of a length are ranked by counts for each (length, block) and
     places in it; a length that most documents share is split over the blocks.
 
-    Defined cases: a null or empty text is a piece of the end id alone; equal rows are packed
+    Defined cases: a null or empty text is a piece of the end id alone; a very long text is tokenized whole, in a slice of its own, and
+    cut into pieces; a slice that holds "<|", which may begin a special token, is tokenized without lower-casing it first, to the same ids; equal rows are packed
     each by itself; null doc_ids are packed like others; an empty table gives an empty table.
     """
     spark = docs.sparkSession

@@ -73,7 +73,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCAL
     queries that hold it scatter their weight times the term's postings into dense score arrays;
     k rows of each query leave a block, and a window with a group limit merges them.
 
-    Defined cases: vectors of unlike lengths miss the terms that they lack; a candidate with the query's id
+    Defined cases: equal scores go to the smaller vec_id; very long vectors are matrices with as many rows, a block at a time; vectors of unlike lengths miss the terms that they lack; a candidate with the query's id
     isn't its neighbour; candidates that repeat an id stand as often as they occur; queries that repeat an
     id are one query, with the least of their vectors; fewer than k others give fewer rows;
     other columns are not returned; empty tables give an empty result.
