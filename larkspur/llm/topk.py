@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import bound_batches, cut_table
 
 K = 10
 SCALE = 1024
@@ -69,7 +69,9 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's k best of all other vectors, ties to the smaller vec_id.
 
-    Every block of queries meets every block of candidates once.  For each term (dimension) the
+    Every block of queries meets every block of candidates once: both are written as tables, of which tasks
+    read a part each (a Cartesian product of their partitions), so neither is broadcast nor copied in a shuffle.
+    For each term (dimension) the
     queries that hold it scatter their weight times the term's postings into dense score arrays;
     k rows of each query leave a block, and a window with a group limit merges them.
 
@@ -78,13 +80,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCAL
     id are one query, with the least of their vectors; fewer than k others give fewer rows;
     other columns are not returned; empty tables give an empty result.
     """
-    spark = vectors.sparkSession
-    parts = partitions(spark)
-    dealt = blocks(vectors, candidate_block, scale).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
-    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = blocks(queries, query_block, scale).select(
-        F.col("ids").alias("q_ids"), F.col("terms").alias("q_terms"), F.col("n").alias("q_n"), F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    )
+    bound_batches(vectors.sparkSession)
+    queries = cut_table(queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    few = max(1, -(-queries.count() // query_block))  # partitions that are enough for full blocks
+    asked = cut_table(blocks(queries.coalesce(few), query_block, scale)).toDF("q_ids", "q_terms", "q_n", "q_dim")
+    dealt = cut_table(blocks(vectors, candidate_block, scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +107,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCAL
                 flat = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["query_id", "vec_id", "score"])
 
-    met = asked.join(dealt, "part").select("ids", "terms", "n", "dim", "q_ids", "q_terms", "q_n", "q_dim")
+    met = dealt.join(asked.hint("shuffle_replicate_nl")).select("ids", "terms", "n", "dim", "q_ids", "q_terms", "q_n", "q_dim")
     found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

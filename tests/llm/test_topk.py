@@ -30,3 +30,12 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0], 1, 1), (1, [1.0], 1, 1), (2, [1.0], 1, 1)], SCHEMA)
     assert sorted(map(tuple, search(df, df.where("vec_id = 0")).collect())) == [(0, 1, 1, 1048576), (0, 2, 2, 1048576)]
     assert search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_no_blocks_on_the_driver(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, [rng.random() for _ in range(8)], 1, 1) for i in range(200)], SCHEMA)
+    got = search(df, df.where("vec_id % 5 = 0"), query_block=4, candidate_block=16)
+    assert got.count() == 400
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan and "CartesianProduct" in plan
