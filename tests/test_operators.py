@@ -132,6 +132,24 @@ def test_not_in_null(spark):
     assert spark.sql("SELECT * FROM VALUES (1), (2) AS a(v) WHERE v NOT IN (SELECT * FROM VALUES (3), (NULL))").count() == 0
 
 
+def test_not_in_is_dealt_over_tasks(spark):
+    from larkspur.plans import catalogue
+    from larkspur.session import spread_not_in
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.queries()["subquery_not_in"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Broadcast" not in plan and "LeftAnti" in plan
+    spark.sql("SELECT * FROM VALUES (1), (2), (NULL) AS v(x)").createOrReplaceTempView("some_x")
+    for name, held in (("plain", "(2), (5)"), ("with_null", "(2), (NULL)"), ("none", "(1)")):
+        spark.sql(f"SELECT * FROM VALUES {held} AS v(x)").where("x > 0 OR x IS NULL" if name != "none" else "false").createOrReplaceTempView(f"ys_{name}")
+        text = f"SELECT x FROM some_x WHERE x NOT IN (SELECT NULLIF(x, 5) FROM ys_{name}) AND coalesce(x, 0) < 9"
+        assert spread_not_in(text) != text and values(spark.sql(spread_not_in(text))) == values(spark.sql(text))
+
+
 def test_csv_round_trip(spark, t, tmp_path):
     odd = t.union(spark.createDataFrame([(5, 1, 'q"u,o\nte'), (6, 2, "")], t.schema))
     files.copy_to(odd, str(tmp_path / "out"), single_file=True)
