@@ -33,6 +33,25 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
     return left.join(right, common, how) if common else left.crossJoin(right)
 
 
+def full_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, rows: int = 5_000_000) -> DataFrame:
+    """FULL OUTER JOIN where left_key = right_key.  A key with more than about `rows` pairs is dealt over parts: each has some of its left rows and all of its right ones.
+
+    Spark joins all rows of a key in one task, and all keys in one if they are few, however many pairs they make.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = left.withColumn("__key", left_key), right.withColumn("__key", right_key)
+    held = [df.where("__key IS NOT NULL").groupBy("__key").agg(F.count("*").alias(c)) for df, c in ((a, "__a"), (b, "__b"))]
+    parts = held[0].join(held[1], "__key").select("__key", F.least(F.ceil(F.col("__a") * F.col("__b") / F.lit(rows)), F.col("__a")).cast("int").alias("__parts")).where("__parts > 1")
+    dealt = a.join(parts, "__key", "left").withColumn("__part", F.pmod(F.xxhash64(*[left[c] for c in left.columns]), F.coalesce("__parts", F.when(F.col("__key").isNull(), n), F.lit(1))).cast("int"))
+    copied = b.where("__key IS NOT NULL").join(parts, "__key", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+    dealt = dealt.repartition(n, "__key", "__part").select("__key", "__part", F.struct(*left.columns).alias("__left"))
+    copied = copied.repartition(n, "__key", "__part").select("__key", "__part", F.struct(*right.columns).alias("__right"))
+    out = [F.col(f"__left.{c}").alias(c) for c in left.columns], [F.col(f"__right.{c}").alias(c) for c in right.columns]
+    found = dealt.join(copied, ["__key", "__part"], "left").select(*out[0], *out[1])
+    alone = b.join(held[0].select("__key"), "__key", "left_anti")
+    return found.unionByName(alone.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema.fields], *right.columns))
+
+
 def groups_frame(df: DataFrame, partition: Sequence[str], order: str, start: int, end: int, value: Column, name: str) -> DataFrame:
     """value over a GROUPS frame from start to end peer groups away: ranks of peers make it a RANGE frame."""
     numbered = df.withColumn("__peers", F.dense_rank().over(Window.partitionBy(*partition).orderBy(order)))

@@ -150,6 +150,20 @@ def test_not_in_is_dealt_over_tasks(spark):
         assert spread_not_in(text) != text and values(spark.sql(spread_not_in(text))) == values(spark.sql(text))
 
 
+def test_full_join_of_few_keys_is_dealt_over_tasks(spark):
+    from larkspur.plans import catalogue
+
+    a, b = spark.range(3000).select(F.col("id").alias("x")), spark.range(700).select(F.col("id").alias("y"))
+    keys = F.expr("CASE WHEN x < 2000 THEN 1 WHEN x < 2990 THEN x % 7 END"), F.expr("CASE WHEN y < 300 THEN 1 WHEN y < 690 THEN y END")
+    got = select.full_join(a, b, *keys, rows=50_000)
+    want = a.join(b, keys[0] == keys[1], "full")
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    sizes = [r["count"] for r in got.where("x < 2000 AND y < 300").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 600_000 and len(sizes) > 1 and max(sizes) < 450_000
+    plan = catalogue.queries()["join_null_keys"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan
+
+
 def test_csv_round_trip(spark, t, tmp_path):
     odd = t.union(spark.createDataFrame([(5, 1, 'q"u,o\nte'), (6, 2, "")], t.schema))
     files.copy_to(odd, str(tmp_path / "out"), single_file=True)
